@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from texmill.llm import quality_rules, secret_scan
-from texmill.storage import table
+from texmill.llm import bpe, fingerprints, packing, quality_rules, secret_scan, simhash
+from texmill.storage import stash, table
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +23,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*first, F.col("d2").alias("distance2"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stash(simhash.fingerprinted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    out = simhash.grouped(rows)
+    return out.select("_doc.doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     of = lambda *kinds: F.filter("_spans", lambda s: s["kind"].isin([secret_scan.KINDS.index(k) for k in kinds]))
@@ -27,3 +41,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.filter("_spans", lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter("_spans", lambda s: ~s["live"])).cast("long").alias("n_example"),
     )
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))

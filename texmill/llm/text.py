@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
+
+from texmill.storage import reachable
 
 #: The six characters that separate words.
 SPACE = " \t\n\x0b\x0c\r"
@@ -23,3 +25,10 @@ def words(text: Column) -> Column:
 def id_remainder(doc_id: Column, by: int) -> Column:
     """crc32 of doc_id as text, mod by; null ids count as 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % by, F.lit(0))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches that stay small in a Python worker even where all texts are long."""
+    reachable(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
