@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from texmill.llm import bpe, fingerprints, packing, quality_rules, secret_scan, simhash
+from texmill.llm import bpe, fingerprints, hmm, license_scan, packing, quality_classifier, quality_rules, secret_scan, simhash, wordpiece
+from texmill.llm.text import id_remainder
 from texmill.storage import stash, table
 
 
@@ -45,3 +46,25 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.licensed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    told = F.transform("matches", lambda m: F.concat_ws(":", m["template"], m["first_word"].cast("string"), m["end_word"].cast("string")))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_licenses"), F.array_join(told, ",").alias("licenses"))
+
+
+def op7_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.counted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = quality_classifier.trained(docs, table(spark, sf_dir, "labels"), id_remainder(F.col("doc_id"), 5) != 0)
+    score = F.col("score")
+    held = id_remainder(F.col("_doc.doc_id"), 5) == 0
+    return quality_classifier.scored(docs, forest).select("_doc.doc_id", held.alias("held_out"), score, (score >= 0.3).cast("int").alias("predicted"))
