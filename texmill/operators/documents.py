@@ -83,9 +83,9 @@ def outline(found: DataFrame) -> DataFrame:
 def lint(lines: DataFrame, silenced: tuple[str, ...] = tx.SILENCED) -> DataFrame:
     """(doc_id, line, code, message) of checker output lines such as 3:1:12:text, without the silenced codes."""
     parts = F.split("line", ":", 4)
-    found = lines.withColumn("p", parts).filter((F.size("p") == 4) & F.col("p")[0].rlike(r"^\d+$"))
-    code = stripped(F.col("p")[2])
-    return found.filter(~code.isin(*silenced)).select("doc_id", F.col("p")[0].try_cast("int").alias("line"), code.alias("code"), stripped(F.col("p")[3]).alias("message"))
+    found = lines.withColumn("p", parts).filter((F.size("p") == 4) & F.get("p", F.lit(0)).rlike(r"^\d+$"))
+    code = stripped(F.get("p", F.lit(2)))
+    return found.filter(~code.isin(*silenced)).select("doc_id", F.get("p", F.lit(0)).try_cast("int").alias("line"), code.alias("code"), stripped(F.get("p", F.lit(3))).alias("message"))
 
 
 def converter_warnings(texts: DataFrame) -> DataFrame:

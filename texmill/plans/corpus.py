@@ -62,15 +62,15 @@ DERIVED = {
     f"when 0 then {tex('~chapter{Part ')}||cast(o_orderkey % 10 as varchar(9))||'}}' when 1 then {tex('~section{On ~textbf{')}||o_orderstatus||'}} and more}} tail' when 2 then {tex('  ~subsection*{Case ')}||cast(o_orderkey % 4 as varchar(9))||'}}' "
     f"when 3 then {tex('% ~section{hidden}')} when 4 then {tex('~begin{frame}{Slide ')}||cast(o_orderkey % 6 as varchar(9))||'}}' when 5 then {tex('~subsubsection[short]{Long}')} else 'Some words of text' end as line from {{orders}}",
     # glyph spans: a row of five for each line of a page, with smaller ones above and below
-    "spans": "select l_orderkey % 30 as doc_id, cast(l_orderkey % 7 as int) as page_no, cast(l_orderkey as bigint) as line_no, cast(l_linenumber as int) as span_no, "
-    "substr('abxyzEfgkn', cast(l_partkey % 10 as int) + 1, 1)||case when l_partkey % 5 = 0 then 'word' else '' end as text, "
+    "spans": "select l_orderkey % 30 as doc_id, cast(l_orderkey % 7 as int) as page_no, cast(l_orderkey as bigint) as line_no, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as int) as span_no, "
+    "case l_partkey % 12 when 0 then '∑' when 1 then 'max' when 2 then 'ˆ' else substr('abxyzEfgkn', cast(l_partkey % 10 as int) + 1, 1)||case when l_partkey % 5 = 0 then 'word' else '' end end as text, "
     "case when l_suppkey % 3 = 0 then 'CMMI10' when l_suppkey % 3 = 1 then 'CMR10' else 'CMTT9' end as font, "
     "case when l_partkey % 4 = 0 then 7.0 else 10.0 end as size, cast(l_linenumber * 20 + l_quantity as double) as ox, "
-    "cast((l_orderkey % 50) * 14 as double) + case when l_partkey % 8 = 0 then -3.0 when l_partkey % 8 = 4 then 2.0 else 0.0 end as oy, "
-    "cast(l_linenumber * 20 + l_quantity as double) as x0, cast((l_orderkey % 50) * 14 - 7 as double) as y0, cast(l_linenumber * 20 + l_quantity + 8 as double) as x1, cast((l_orderkey % 50) * 14 + 3 as double) as y1, cast(l_suppkey % 2 as int) as flags from {lineitem}",
+    "cast((cast(floor(l_orderkey / 210.0) as bigint) % 50) * 14 as double) + case when l_partkey % 8 = 0 then -3.0 when l_partkey % 8 = 4 then 2.0 else 0.0 end as oy, "
+    "cast(l_linenumber * 20 + l_quantity as double) as x0, cast((cast(floor(l_orderkey / 210.0) as bigint) % 50) * 14 - 7 as double) as y0, cast(l_linenumber * 20 + l_quantity + 8 as double) as x1, cast((cast(floor(l_orderkey / 210.0) as bigint) % 50) * 14 + 3 as double) as y1, cast(l_suppkey % 2 as int) as flags from {lineitem}",
     # thin rectangles, some of them fraction bars
-    "drawings": "select o_orderkey % 30 as doc_id, cast(o_orderkey % 7 as int) as page_no, cast(o_orderkey as bigint) as bar_no, cast(o_custkey % 120 as double) as x0, cast((o_orderkey % 50) * 14 + 4 as double) as y0, "
-    "cast(o_custkey % 120 as double) + cast(o_orderkey % 300 as double) as x1, cast((o_orderkey % 50) * 14 + 4 as double) + cast(o_custkey % 5 as double) as y1 from {orders}",
+    "drawings": "select o_orderkey % 30 as doc_id, cast(o_orderkey % 7 as int) as page_no, cast(o_orderkey as bigint) as bar_no, cast(o_custkey % 120 as double) as x0, cast((cast(floor(o_orderkey / 210.0) as bigint) % 50) * 14 + 4 as double) as y0, "
+    "cast(o_custkey % 120 as double) + cast(o_orderkey % 300 as double) as x1, cast((cast(floor(o_orderkey / 210.0) as bigint) % 50) * 14 + 4 as double) + cast(o_custkey % 5 as double) as y1 from {orders}",
     # readings of a region by a model at several resolutions
     "readings": "select p_partkey % 400 as region_id, cast(150 + 50 * (p_partkey % 3) as int) as dpi, p_partkey as reading_no, "
     f"case when p_size % 4 = 0 then {tex('x ~le y')} when p_size % 4 = 1 then {tex('x ~leq y')} when p_size % 4 = 2 then {tex('~frac{x}{y}')} else 'x + '||cast(p_size % 3 as varchar(3)) end as latex from {{part}}",
