@@ -15,7 +15,7 @@ NEUTRAL = r"[()\[\]{}0-9+\-=.,;:!/|<> \t]"
 FUNCTIONS = "sin cos tan cot sec csc sinh cosh tanh coth arcsin arccos arctan log ln lg exp lim liminf limsup max min sup inf det dim ker deg gcd arg hom".split()
 OPERATORS = {"∑": r"\sum", "∏": r"\prod", "∐": r"\coprod", "⋃": r"\bigcup", "⋂": r"\bigcap", "∫": r"\int"}
 LIMIT_WORDS = "lim liminf limsup max min sup inf".split()
-ACCENTS = {"ˆ": r"\hat", "^": r"\hat", "˜": r"\tilde", "~": r"\tilde", "¯": r"\bar", "ˉ": r"\bar", "˙": r"\dot", "¨": r"\ddot", "ˇ": r"\check", "˘": r"\breve", "→": r"\vec", "⃗": r"\vec"}
+ACCENTS = {"ˆ": r"\hat", "^": r"\hat", "˜": r"\tilde", "~": r"\tilde", "¯": r"\bar", "ˉ": r"\bar", "˙": r"\dot", "¨": r"\ddot", "ˇ": r"\check", "˘": r"\breve", "→": r"\vec", "\u20d7": r"\vec"}
 BAR_WIDTH, BAR_HEIGHT = (5.0, 260.0), 2.2
 
 
