@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from texmill.llm.text import small_batches, whole
 
 #: Unicode white space, as the library's regular expressions have it.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 NEVER = np.int64(1 << 40)
 

@@ -30,7 +30,7 @@ from texmill.llm.text import id_remainder, small_batches, whole
 from texmill.storage import stash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: The end of a text as a token; no word is empty.
 END = ""
 
@@ -40,7 +40,7 @@ class Setup:
     states: int = 8
     symbols: int = 4096
     classes: int = 2048
-    table: int = 65_536
+    table: int = 131_072
     passes: int = 2
     discount: float = 0.6
     #: Documents that choose the starting point, those with the least hashes of their ids.
@@ -52,7 +52,9 @@ class Setup:
 
 
 def tokens(text: str) -> list[str]:
-    return WORD.findall(text.translate(LOWER)) + [END]
+    found = WORD.findall(text.encode().translate(LOWER).decode())  # bytes: letters beyond ASCII make str.translate slow
+    found.append(END)
+    return found
 
 
 def klass(word: str, how: Setup) -> int:
@@ -182,31 +184,46 @@ def _classes(batches: Iterator[pa.RecordBatch], how: Setup, own: set[str]) -> It
 
 @dataclass
 class Vocabulary:
-    """What the workers know of the counts."""
+    """What the workers know of the counts: the frequent tokens, and sums of the others by class."""
 
     n: int
     v: int
-    symbol: dict[str, int]
-    count: dict[str, int]
+    end: int  # count of the end token; it always has a place
+    place: dict[str, int]
+    count: np.ndarray  # by place
+    symbol: np.ndarray  # by place; -1 for those of a class
     in_class: np.ndarray  # tokens of each class in training
     types: np.ndarray  # words of each class in training
 
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 0.1) / (self.n + 0.1 * (self.v + 1)))
+    def tables(self, how: Setup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By place: symbol, base score, and log probability within the class (0 for a symbol of its own). Made once a worker."""
+        if "_tables" not in self.__dict__:
+            kind = self.symbol.copy()
+            for w, i in self.place.items():
+                if kind[i] < 0:
+                    kind[i] = klass(w, how)
+            own = self.symbol >= 0
+            inner = np.where(own, 0.0, np.log10(np.maximum(self.count - how.discount, 1e-300) / np.where(own, 1.0, np.maximum(self.in_class[kind], 1e-300))))
+            self._tables = kind, np.log10((self.count + 0.1) / (self.n + 0.1 * (self.v + 1))), inner
+        return self._tables
 
 
 def vocabulary(counts: DataFrame, how: Setup) -> Vocabulary:
     spark = counts.sparkSession
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.orderBy(F.desc("c"), "word").limit(how.table).toArrow()  # a bounded table of the most frequent
-    words, c = top.column("word").to_pylist(), top.column("c").to_pylist()
-    symbol = {END: 0} | {w: k + 1 for k, w in enumerate([w for w in words if w != END][: how.symbols - 1])}
-    own = spark.sparkContext.broadcast(set(symbol))
+    found = dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
+    end = found.pop(END, 0)
+    words = [END, *found]
+    symbol = np.full(len(words), -1)
+    symbol[: how.symbols] = np.arange(min(how.symbols, len(words)))
+    own = spark.sparkContext.broadcast(set(words[: how.symbols]))
     each = counts.mapInArrow(lambda b: _classes(b, how, own.value), "k int, c long").filter("k >= 0").groupBy("k").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("types"))
     in_class, types = np.zeros(how.kinds), np.zeros(how.kinds)
     for k, total, kinds in each.collect():  # a row a class
         in_class[k], types[k] = total, kinds
-    return Vocabulary(n, v, symbol, dict(zip(words, c, strict=True)), in_class, types)
+    place = {w: i for i, w in enumerate(words)}
+    return Vocabulary(n, v, end, place, np.array([end, *found.values()], float), symbol, in_class, types)
 
 
 ENCODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, inner double, symbols binary, rare array<string>, rare_n array<int>, rare_k array<int>"
@@ -214,33 +231,29 @@ ENCODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base doub
 
 def _encoded(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, how: Setup) -> Iterator[pa.RecordBatch]:
     """Symbols of each text, what the frequent tokens add to its sums, and its other words with their numbers."""
-    symbol, count = vocab.symbol, vocab.count
-    memory: dict[str, tuple[int, float, float, bool]] = {}
-
-    def known(w: str) -> tuple[int, float, float, bool]:
-        k, c = symbol.get(w), count.get(w)
-        inner = 0.0
-        if k is None:
-            k = klass(w, how)
-            inner = float(np.log10((c - how.discount) / vocab.in_class[k])) if c else 0.0
-        found = (k, float(vocab.base(np.float64(c))) if c else 0.0, inner, c is not None or w == END)
-        if len(memory) > 300_000:
-            memory.clear()
-        memory[w] = found
-        return found
-
+    place = vocab.place
+    kind, base, inner = vocab.tables(how)
+    memory: dict[str, int] = {}
     for batch in batches:
         out: list[tuple] = []
+        if len(memory) > 200_000:
+            memory.clear()
         for doc_id, held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
             words = tokens(text)
-            codes = [memory.get(w) or known(w) for w in words]
-            rare = Counter([w for w, c in zip(words, codes) if not c[3]])  # noqa: B905
-            base = sum([c[1] for c in codes])
-            if END not in count:
-                base += float(vocab.base(np.float64(0)))
-            n_known = len(words) - rare.total() - (END not in count)
-            ks = np.array([c[0] for c in codes], "<u2").tobytes()
-            out.append((doc_id, held, len(words), n_known, base, sum([c[2] for c in codes]), ks, list(rare), list(rare.values()), [memory[w][0] if w in memory else klass(w, how) for w in rare]))
+            at = np.array([place.get(w, -1) for w in words])
+            known = at[at >= 0]
+            codes = kind[at]  # -1 takes the last entry, put right below
+            rare: Counter = Counter()
+            if len(known) < len(words):
+                missing = np.flatnonzero(at < 0)
+                unknown = [words[i] for i in missing.tolist()]
+                rare = Counter(unknown)
+                for w in rare:
+                    if w not in memory:
+                        memory[w] = klass(w, how)
+                codes[missing] = [memory[w] for w in unknown]
+            ks = codes.astype("<u2").tobytes()
+            out.append((doc_id, held, len(words), len(known) - (vocab.end == 0), float(base[known].sum()), float(inner[known].sum()), ks, list(rare), list(rare.values()), [memory[w] for w in rare]))
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
         columns = zip(*out, strict=True) if out else [[]] * len(types)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in ENCODED.split(", ")])

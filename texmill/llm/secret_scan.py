@@ -26,7 +26,7 @@ BLOB = r"()([A-Za-z0-9+/_=-]{20,})"
 KINDS = ("assign", "access", "hex", "blob")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Noncharacters that mark where a match begins, its value begins, and it ends; in a text they count as one other character.
-BEGIN, VALUE, END, OTHER = "﷐", "﷑", "﷒", "�"
+BEGIN, VALUE, END, OTHER = "\ufdd0", "\ufdd1", "\ufdd2", "\ufffd"
 SPAN = "struct<start:int,kind:int,end:int,hash:string>"
 
 
