@@ -130,16 +130,16 @@ def beginning(texts: list[np.ndarray], how: Setup) -> Model:
     seeds = [int(rng.integers(len(texts)))]
     root = np.sqrt(shares)
     for _ in range(how.states - 1):  # far apart, so that states begin as different as the sample has them
-        away = np.maximum(1 - (root @ root[seeds].T).max(axis=1), 0)
+        away = np.maximum(1 - np.einsum("tk,sk->ts", root, root[seeds]).max(axis=1), 0)
         seeds.append(int(rng.choice(len(texts), p=away / away.sum())) if away.sum() > 1e-9 else int(rng.integers(len(texts))))
     emit = (shares[seeds] + shares.mean(axis=0) + 1e-6).T
     emit /= emit.sum(axis=0)
     weight = np.full(how.states, 1 / how.states)
     for _ in range(30):
-        fit = counts @ np.log(emit) + np.log(weight)
+        fit = np.einsum("tk,ks->ts", counts, np.log(emit)) + np.log(weight)
         fit = np.exp((fit - fit.max(axis=1, keepdims=True)) * 0.2)  # tempered: texts are not all of one kind
         fit /= fit.sum(axis=1, keepdims=True)
-        emit = counts.T @ fit + 0.05
+        emit = np.einsum("tk,ts->ks", counts, fit) + 0.05
         emit /= emit.sum(axis=0)
         weight = fit.mean(axis=0) + 1e-6
         weight /= weight.sum()
@@ -210,10 +210,10 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, how: Setup) -> Vocabulary:
     spark = counts.sparkSession
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(how.table).toArrow()  # a bounded table of the most frequent
+    of_end = F.coalesce(F.max(F.when(F.col("word") == END, F.col("c"))), F.lit(0))
+    n, v, end = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), of_end).first()
+    top = counts.filter(F.col("word") != END).orderBy(F.desc("c"), "word").limit(how.table).toArrow()  # a bounded table of the most frequent
     found = dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
-    end = found.pop(END, 0)
     words = [END, *found]
     symbol = np.full(len(words), -1)
     symbol[: how.symbols] = np.arange(min(how.symbols, len(words)))

@@ -153,13 +153,17 @@ def patterns(demand: np.ndarray, size: int = SIZE) -> list[tuple[Counter, int]]:
         return []
     m = len(lengths)
     # A pattern for each length that it meets: itself for the first, and, unused, one of that length alone for the others.
-    start = [x for p, u, met in used for x in ((p, u), *((Counter({i: size // i}), 0.0) for i in met[1:]))]
-    basis = [p for p, _ in start]
-    matrix = np.zeros((m, m))
-    for k, p in enumerate(basis):
+    start = [x for p, u, met in used for x in ((p, u, met[0]), *((Counter({i: size // i}), 0.0, i) for i in met[1:]))]
+    basis, x = [p for p, _, _ in start], np.array([u for _, u, _ in start])
+    # Later patterns hold no length that is met before, so the basis is triangular and its inverse comes row by row.
+    inverse, holding = np.zeros((m, m)), {int(n): [] for n in lengths}
+    for k, (p, _, met) in enumerate(start):
+        inverse[k, row[met]] = 1
+        for j, a in holding[met]:
+            inverse[k] -= a * inverse[j]
+        inverse[k] /= p[met]
         for i, a in p.items():
-            matrix[row[i], k] = a
-    inverse, x = np.linalg.inv(matrix), np.array([u for _, u in start])
+            holding[i].append((k, a))
     dual = inverse.sum(axis=0)
     pivots = 0
     while pivots < PIVOTS:
