@@ -19,6 +19,12 @@ def by_kind(matches: DataFrame) -> DataFrame:
     return each.groupBy("kind").agg(*measures(F.col("score")))
 
 
+def report(matches: DataFrame) -> DataFrame:
+    """by_kind and a row for all, in one pass over the matches."""
+    labels = F.concat(kinds(F.col("tokens"), F.col("text"), F.col("display")), F.array(F.lit("total")))
+    return matches.select("score", F.explode(labels).alias("kind")).groupBy("kind").agg(*measures(F.col("score")))
+
+
 def total(matches: DataFrame) -> DataFrame:
     """One row for all formulas. Scores are rounded to four places before, as a report stores them."""
     return matches.agg(*measures(F.round("score", 4))).withColumn("kind", F.lit("total"))

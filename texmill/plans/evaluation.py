@@ -114,6 +114,4 @@ def sort_kinds(spark, sf_dir):
 @query(_MATCH + ", " + _KINDS + f"select kind, {_MEASURES} from k group by kind union all select 'total', {_MEASURES} from m")
 def formula_report(spark, sf_dir):
     """The evaluation end to end: tokens, band match, scores, by kind and in all."""
-    matches = _matches(spark, sf_dir)
-    whole = matches.agg(*scoring.measures(F.col("score"))).withColumn("kind", F.lit("total"))
-    return _rounded(scoring.by_kind(matches).unionByName(whole)).select("kind", "formulas", "exact_pct", "similarity_pct")
+    return _rounded(scoring.report(_matches(spark, sf_dir))).select("kind", "formulas", "exact_pct", "similarity_pct")
