@@ -9,8 +9,8 @@ def test_functions_in_sql(spark):
     udfs.register(spark)
     got = spark.sql("select seq, text, display from latex_formulas('a $x$ and $$y$$')").collect()
     assert [tuple(r) for r in got] == [(0, "x", False), (1, "y", True)]
-    row = spark.sql("select latexify_md('α') a, latex_structure_error(r'\\frac{a}') b, latexify_tex(null) c").first()
-    assert row.a == r"$\alpha$" and row.b and row.c is None
+    row = spark.sql("select latexify_md('an α') a, latex_structure_error(r'\\frac{a}') b, latexify_tex(null) c").first()
+    assert row.a == r"an $\alpha$" and row.b and row.c is None
 
 
 def test_command_line(capsys):
