@@ -153,12 +153,9 @@ def groups(rows: DataFrame, min_group: int) -> DataFrame:
     sizes = stash(rows.groupBy(F.col("_doc.lang").alias("_lang"), F.col("_doc.source").alias("_source")).agg(F.count(F.lit(1)).alias("n")))
     small = sizes.filter(F.col("n") < min_group).withColumn("pool", pool)
     pools = small.groupBy("pool").agg(F.sum("n").alias("in_pool"))
-    left_over = pools.agg(F.sum(F.when(F.col("in_pool") < min_group, F.col("in_pool"))).alias("in_rest"))  # one row
-    placed = small.join(pools, "pool").join(F.broadcast(left_over)).select(
-        "_lang",
-        "_source",
-        F.when(F.col("in_pool") >= min_group, F.col("pool")).when(F.col("in_rest") >= min_group, F.lit("rest")).alias("group"),
-    )
+    in_rest = pools.agg(F.sum(F.when(F.col("in_pool") < min_group, F.col("in_pool")))).first()[0] or 0
+    last = F.lit("rest" if in_rest >= min_group else None).cast("string")
+    placed = small.join(pools, "pool").select("_lang", "_source", F.when(F.col("in_pool") >= min_group, F.col("pool")).otherwise(last).alias("group"))
     return stash(sizes.filter(F.col("n") >= min_group).select("_lang", "_source", own.alias("group")).unionByName(placed))
 
 
