@@ -62,6 +62,11 @@ def chi2_quantile(p: float, d: float) -> float:
     return (low + high) / 2
 
 
+def small(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """A written table to be broadcast if its rows, counted, are few; else Spark joins it as it does any other."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def repeated_words(hashes: Column) -> Column:
     """Positions covered by windows that occur twice or more, from the array of window hashes of a text."""
     ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -171,21 +176,21 @@ def judged(docs: DataFrame, rules: Rules = Rules(), with_text: bool = False) ->
     packed = docs.select(F.struct(*own).alias("_doc"), F.col("text").alias("_text"))
     rows = stash(statistics(packed).withColumn("base_failed", failed).withColumns(made))
     passing = rows.filter(~F.col("base_failed"))
-    at = groups(passing, rules.min_group)
+    at = small(groups(passing, rules.min_group))
     same = F.col("_doc.lang").eqNullSafe(F.col("_lang")) & F.col("_doc.source").eqNullSafe(F.col("_source"))
     slim = passing.join(at, same).filter(F.col("group").isNotNull()).select("group", *names)
 
     middle = [F.percentile_approx(F.col(v), 0.5).alias(f"m_{i}") for i, v in enumerate(names)]
-    middle = stash(slim.groupBy("group").agg(*middle))
+    middle = small(stash(slim.groupBy("group").agg(*middle)))
     off = [F.percentile_approx(F.abs(F.col(v) - F.col(f"m_{i}")), 0.5).alias(f"s_{i}") for i, v in enumerate(names)]
     spread = slim.join(middle, "group").groupBy("group").agg(*off).join(middle, "group")
     start = [F.greatest(1.4826 * F.col(f"s_{i}"), F.lit(FLOORS[v])).alias(f"l_{i}_{i}") for i, v in enumerate(names)]
     zero = [F.lit(0.0).alias(f"l_{i}_{j}") for i in range(d) for j in range(i)]
-    fit = stash(spread.select("group", *(f"m_{i}" for i in range(d)), *start, *zero))
+    fit = small(stash(spread.select("group", *(f"m_{i}" for i in range(d)), *start, *zero)))
     for _ in range(rules.steps):
         measured = _distance(slim, fit, names)
-        cut = stash(measured.groupBy("group").agg(F.percentile_approx("d2", rules.core, 1000).alias("cut")))
-        fit = stash(_moments(measured.join(cut, "group"), names, F.col("d2") <= F.col("cut")))
+        cut = small(stash(measured.groupBy("group").agg(F.percentile_approx("d2", rules.core, 1000).alias("cut"))))
+        fit = small(stash(_moments(measured.join(cut, "group"), names, F.col("d2") <= F.col("cut"))))
 
     shrink = rules.core / chi2_cdf(chi2_quantile(rules.core, d), d + 2)  # the core alone understates the scatter
     limit = chi2_quantile(1 - rules.alpha, d)
