@@ -170,7 +170,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column("text").to_pylist():
             tally.update(tokens(text))
-            if len(tally) > 400_000:
+            if len(tally) > 200_000:
                 yield from flush()
                 tally.clear()
     yield from flush()
@@ -299,7 +299,7 @@ def scored(docs: DataFrame, how: Setup = Setup(), held_out_of: int = 10) -> Data
     Documents whose crc32 of doc_id is 0 modulo held_out_of are not learned from.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2 << 20)
     held = id_remainder(F.col("doc_id"), held_out_of) == 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), whole(F.col("text")).alias("text"))
     counted = rows.filter(~F.col("held_out")).select("text").mapInArrow(_counts, "word string, n long")
