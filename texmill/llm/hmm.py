@@ -101,7 +101,7 @@ def expected(model: Model, texts: list[np.ndarray], kinds: int) -> tuple[np.ndar
     flat, first, there, _ = layout(texts)
     out = model.emit[flat]
     alpha, scale = forward(model, out, first, there)
-    gamma, moves = alpha.copy(), np.zeros_like(model.move)
+    gamma, moves = alpha, np.zeros_like(model.move)  # in place: a token's alpha is not needed once its gamma is known
     back = np.empty((0, out.shape[1]))
     for t in range(len(there) - 2, -1, -1):
         n, i, j = there[t + 1], first[t + 1], first[t + 2]
