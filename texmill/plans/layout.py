@@ -103,11 +103,17 @@ def row_bases(spark, sf_dir):
     "select doc_id, page_no, line_no, span_no, arg_min(row, (abs(base - oy), row))::int as row from c group by all"
 )
 def row_nearest(spark, sf_dir):
-    """Rows of one document's spans: each span at the nearest base of its page."""
+    """Rows of one document's spans, as its SQL has them: each span at the nearest base of its page. row_nearest_all has every document."""
     one = _spans(spark, sf_dir).filter("doc_id = 3")
     return ops.nearest_rows(one, ["doc_id", "page_no"], 10.0).select("doc_id", "page_no", "line_no", "span_no", "row")
 
 
+@query()
+def row_nearest_all(spark, sf_dir):
+    """Rows of all documents' spans; recursive SQL would carry a list of bases for each page, so the tests compare with plain Python."""
+    return ops.nearest_rows(_spans(spark, sf_dir), ["doc_id", "page_no"], 10.0).select("doc_id", "page_no", "line_no", "span_no", "row")
+
+
 _SIDES = (
     f"{_BARS}, {_LINES}, s as (select b.doc_id, b.page_no, bar_no, line_no, math, l.x0, l.y0, l.x1, l.y1, (b.y0 + b.y1) / 2 - l.y1 as above, l.y0 - (b.y0 + b.y1) / 2 as below, 1.4 * greatest(6.0, l.y1 - l.y0) as far "
     "from bars b join lines l on b.doc_id = l.doc_id and b.page_no = l.page_no and least(l.x1, b.x1) - greatest(l.x0, b.x0) > 0 and least(l.x1, b.x1) - greatest(l.x0, b.x0) >= 0.6 * least(l.x1 - l.x0, b.x1 - b.x0) and l.x1 - l.x0 <= 1.3 * (b.x1 - b.x0)), "
