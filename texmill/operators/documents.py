@@ -95,6 +95,15 @@ def converter_warnings(texts: DataFrame) -> DataFrame:
     return texts.withColumn("w", each).select("doc_id", F.size(F.filter("w", about)).alias("formulas"), F.filter("w", lambda x: ~about(x)).alias("others"))
 
 
+def converter_warning_counts(lines: DataFrame) -> DataFrame:
+    """(doc_id, formulas, others) as counts, of lines(doc_id, line_no, line); no log is put together."""
+    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    part = F.count(F.when(F.col("line").startswith("[WARNING]"), 1)).over(w)
+    filled, about = F.bool_or(stripped(F.col("line")) != ""), F.bool_or(F.col("line").contains("Could not convert TeX math"))
+    each = lines.withColumn("part", part).groupBy("doc_id", "part").agg(filled.alias("filled"), about.alias("about"))
+    return each.groupBy("doc_id").agg(F.count_if("about").alias("formulas"), F.count_if(F.col("filled") & ~F.col("about")).alias("others"))
+
+
 def search(texts: DataFrame, pattern: Column | str, *keys: str) -> DataFrame:
     """keys and hits: how often the pattern (a regular expression) occurs in text."""
     return texts.select(*keys, F.regexp_count("text", F.lit(pattern) if isinstance(pattern, str) else pattern).alias("hits"))

@@ -166,6 +166,12 @@ def converter_warnings(spark, sf_dir):
     return found.select("doc_id", F.col("formulas").cast("long").alias("formulas"), F.size("others").alias("others"))
 
 
+@query()
+def converter_warnings_all(spark, sf_dir):
+    """Warnings of whole logs; converter_warnings has their first 60 lines, as its SQL does."""
+    return ops.converter_warning_counts(corpus.rows(spark, sf_dir, "log_lines"))
+
+
 _BIB = f"select n_nationkey, {tex('~bibliography{')}||n_name||', refs.bib ,}} and '||{tex('~addbibresource{old.')}||cast(n_regionkey as varchar(9))||'}}' as text from {{nation}}"
 
 
