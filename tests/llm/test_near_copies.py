@@ -70,3 +70,15 @@ def test_stage_finds_planted_copies(spark, tile, monkeypatch):
     group = linked(made)
     kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect())
     assert kept == sorted({g: i for i, g in reversed(list(enumerate(group)))}.values())
+
+
+def test_null_ids_link_and_are_kept_apart(spark):
+    """A chain of fingerprints through a row with null doc_id, a group of null ids, and null ids in the stage."""
+    rows = [((1,), 0), ((None,), 15), ((2,), 255), ((None,), -1), ((None,), -2), ((7,), 0x5555555555555555)]
+    df = spark.createDataFrame(rows, "_doc struct<doc_id: long>, fp long")
+    got = {r.fp: r.component_id for r in simhash.grouped(df).collect()}
+    assert got == {0: 1, 15: 1, 255: 1, -1: None, -2: None, 0x5555555555555555: 7}
+    texts = [" ".join(f"{k}{i}" for i in range(80)) for k in "abc"]
+    docs = [(None, texts[0], "en", "a", 9), (None, texts[1], "en", "a", 9), (None, texts[2], "en", "a", 9), (5, texts[2] + " end", "en", "a", 9)]
+    kept = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(docs, SCHEMA), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, texts[0]), (0, texts[1]), (5, texts[2] + " end")]

@@ -7,8 +7,9 @@ fingerprint is filed under every choice of that many blocks, and only fingerprin
 Copies never meet as pairs: equal fingerprints are one vertex, and a key's members give a spanning forest of their links,
 not all of them. A key with over `tile` members is cut into tiles of two chunks each, so that any two members share a tile.
 
-Defined cases: null text is the empty text; texts without words have fingerprint zero and link like any other; null doc_id
-is no smallest id, so a group of null ids only has a null component. Repeated rows each get a row. Other columns are ignored.
+Defined cases: null text is the empty text; texts without words have fingerprint zero and link like any other. Vertices are
+fingerprints, so rows with null doc_id link too; null is no smallest id, so a group of null ids only has a null component.
+Repeated rows each get a row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -165,6 +166,8 @@ def _signed(mask: int) -> int:
 def grouped(rows: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> DataFrame:
     """rows(_doc, fp) with component_id, the least doc_id that links reach."""
     fps = stash(rows.groupBy("fp").agg(F.min("_doc.doc_id").alias("id")))
-    joined = components(links(fps.filter(F.col("id").isNotNull()), distance, tile))
-    named = fps.join(joined, "id", "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "id").alias("component_id"))
+    joined = components(links(fps.select("fp", F.col("fp").alias("id")), distance, tile)).withColumnRenamed("id", "_fp")
+    placed = fps.join(joined, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "fp").alias("_group"), "id")
+    least = placed.groupBy("_group").agg(F.min("id").alias("component_id"))
+    named = placed.join(least, "_group").select("_fp", "component_id")
     return rows.join(named, F.col("fp") == F.col("_fp"), "left").drop("_fp")
