@@ -52,10 +52,20 @@ select doc_id, min(line_no) as place, message from (select * from f union all se
 @query(_ERRORS)
 def compile_errors(spark, sf_dir):
     """Errors with file and line; only where a log has none, bare errors; then missing packages. Odd documents lose the former."""
-    lines = corpus.rows(spark, sf_dir, "log_lines")
+    return _compile_errors(corpus.rows(spark, sf_dir, "log_lines"), F.col("doc_id") % 2 == 0)
+
+
+@query()
+def compile_errors_all(spark, sf_dir):
+    """compile_errors with file and line in odd documents too."""
+    return _compile_errors(corpus.rows(spark, sf_dir, "log_lines"), F.lit(True))
+
+
+def _compile_errors(lines, in_files):
+    """in_files: the lines whose errors with file and line count."""
     pattern, sty = r"^([^\s:]+\.\w+):(\d+): (.+)$", r"File `([^']+\.sty)' not found"
     get = lambda k: F.regexp_extract("line", pattern, k)
-    placed = lines.filter(F.col("line").rlike(pattern) & (F.col("doc_id") % 2 == 0) & ~F.lower(stripped(get(3))).rlike("^(warning|info)"))
+    placed = lines.filter(F.col("line").rlike(pattern) & in_files & ~F.lower(stripped(get(3))).rlike("^(warning|info)"))
     placed = placed.select("doc_id", "line_no", F.concat(get(1), F.lit(":"), get(2), F.lit(": "), get(3)).alias("message"))
     bare = lines.filter(F.col("line").rlike("^! (.+)$")).join(placed.select("doc_id").distinct(), "doc_id", "left_anti")
     bare = bare.select("doc_id", "line_no", F.regexp_extract("line", "^! (.+)$", 1).alias("message"))

@@ -171,6 +171,23 @@ def overlap_anti(spark, sf_dir):
     return ops.untouched(_spans(spark, sf_dir), corpus.rows(spark, sf_dir, _REGIONS), *keys).select(*keys)
 
 
+def _regions(spark, sf_dir):
+    """The regions of all drawings; _REGIONS, which the SQL shares, has every ninth."""
+    size = [F.col("x0"), (F.col("y0") - 20).alias("y0"), (F.col("x1") + 60).alias("x1"), (F.col("y0") + 25).alias("y1")]
+    return _drawings(spark, sf_dir).select("doc_id", "page_no", *size)
+
+
+@query()
+def contains_semi_all(spark, sf_dir):
+    return ops.contained(_spans(spark, sf_dir), _regions(spark, sf_dir)).select("doc_id", "page_no", "line_no", "span_no")
+
+
+@query()
+def overlap_anti_all(spark, sf_dir):
+    keys = ("doc_id", "page_no", "line_no", "span_no")
+    return ops.untouched(_spans(spark, sf_dir), _regions(spark, sf_dir), *keys).select(*keys)
+
+
 @query(
     f"with {_LINES}, w as (select *, max(y1) over (partition by doc_id, page_no order by y0, x0, line_no rows between unbounded preceding and 1 preceding) as b from lines), "
     "c as (select *, sum(case when b is null or y0 - b >= 14 then 1 else 0 end) over (partition by doc_id, page_no order by y0, x0, line_no) as cluster from w) select doc_id, page_no, cluster, count(*) as n_lines, min(y0) as y0, max(y1) as y1 from c group by all"
