@@ -133,5 +133,5 @@ def reanchor_spans(spark, sf_dir):
 
 @query()
 def script_fixes(spark, sf_dir):
-    """Words with the scripts that hang on them, as replacements."""
-    return ops.script_fixes(geometry.scripts(corpus.rows(spark, sf_dir, "spans").filter("font = 'CMR10'")))
+    """Words with the scripts that hang on them, as replacements; spans of all fonts count, blank ones do not."""
+    return ops.script_fixes(geometry.scripts(corpus.rows(spark, sf_dir, "spans").filter(F.trim("text") != "")))
