@@ -4,6 +4,7 @@ import hashlib
 import math
 import os.path
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -97,6 +98,37 @@ def test_fingerprinted(docs, nothing):
     assert fingerprints.fingerprinted(nothing).count() == 0
 
 
+def test_likeness_is_near_jaccard():
+    rng = np.random.default_rng(3)
+    base = [f"w{rng.integers(3000)}" for _ in range(900)]
+    for changed in (0, 3, 20, 80, 400):
+        other = list(base)
+        for at in rng.choice(len(base), changed, replace=False):
+            other[at] = f"x{rng.integers(3000)}"
+        a, b = " ".join(base), " ".join(other)
+        x, y = ({t[i : i + fingerprints.WINDOW] for i in range(len(t) - fingerprints.WINDOW + 1)} for t in (a, b))
+        assert abs(fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(b)) - len(x & y) / len(x | y)) < 0.13
+
+
+def test_long_texts_need_bounded_memory():
+    code = np.tile(fingerprints.points("the quick brown fox é🙂 "), 450_000)
+    other = code.copy()
+    other[-7] = 5
+    fingerprints.fingerprint(code[:200_000])
+    tracemalloc.start()
+    assert fingerprints.common_prefix(code, other) == len(code) - 7
+    assert fingerprints.fingerprint(code) != fingerprints.fingerprint(other)
+    assert len(code) > 9_900_000 and tracemalloc.get_traced_memory()[1] < 20e6
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("cuts", [[], [5], [-3, 0, 7, 7_000_000_000], list(range(0, 300, 7))])
+def test_parts_by_binary_search(spark, cuts):
+    ids = [None, -9, -3, -1, 0, 1, 5, 6, 7, 13, 14, 293, 294, 295, 7_000_000_000, 1 << 60]
+    got = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", fingerprints._part(F.col("doc_id"), cuts).alias("p")).collect()
+    assert [(r.doc_id, r.p) for r in got] == [(i, 0 if i is None else int(np.searchsorted(cuts, i, side="right"))) for i in ids]
+
+
 def test_one_document_follows_itself(spark):
     (row,) = fingerprints.fingerprinted(spark.createDataFrame([(5, "abcdefgh" * 9)], "doc_id long, text string")).collect()
     assert row.near_next == 1.0

@@ -7,28 +7,30 @@ class's least window hash, cut to a byte; likeness() of two fingerprints estimat
 sets of windows.
 
 Defined cases: null text is the empty text; equal texts have equal fingerprints, the empty one too, and likeness 1; the
-empty text is unlike any other (0). Texts shorter than a window count as one span. Texts of any length are hashed in blocks,
-so memory is bounded. Documents are ordered by doc_id (null first), ties by text; after the last comes the first.
+empty text is unlike any other (0). Texts shorter than a window count as one span. Documents are ordered by doc_id (null
+first), ties by text; after the last comes the first.
+
+Memory of a worker: a batch of texts, four bytes a code point for the two texts at hand and the edited one, and the arrays of
+one block; fingerprints and common prefixes go block by block. PrefixHash, for spans anywhere in a text, holds two arrays of
+eight bytes a code point of the text that it is given.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from texmill.llm.text import small_batches, whole
-from texmill.storage import stash
 
 #: Modulus of both hashes, a Mersenne prime, and their bases.
 P = (1 << 31) - 1
 BASES = (1_000_003, 48_271_009)
-WINDOW, BINS, BLOCK = 12, 128, 1 << 18
+WINDOW, BINS, BLOCK = 12, 128, 1 << 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,7 +41,7 @@ def _mod(x: np.ndarray) -> np.ndarray:
     return np.where(x >= P, x - P, x)
 
 
-@cache
+@lru_cache(maxsize=8)
 def _powers(base: int, n: int) -> np.ndarray:
     """base**k mod P for k < n; n is a power of two, to have few tables."""
     out = np.ones(1, np.int64)
@@ -49,11 +51,16 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, 1 << max(0, n - 1).bit_length())[:n]
+    """A table of a block, if that is enough: it serves all shorter ones, and is the only one kept of its base."""
+    return _powers(base, 1 << max(0, max(n, BLOCK + WINDOW) - 1).bit_length())[:n]
 
 
 def points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def _terms(code: np.ndarray, base: int) -> np.ndarray:
+    return _mod((code.astype(np.int64) + 1) * powers(base, len(code)))
 
 
 class PrefixHash:
@@ -65,9 +72,8 @@ class PrefixHash:
         self.sums = []
         for base in BASES:
             sums = np.zeros(self.n + 1, np.int64)
-            terms = _mod((code + 1) * powers(base, self.n))
             for i in range(0, self.n, BLOCK):  # sums of a block stay far under 2**62
-                block = np.cumsum(terms[i : i + BLOCK]) + sums[i]
+                block = np.cumsum(_mod(_terms(code[i : i + BLOCK], base) * pow(base, i, P))) + sums[i]
                 sums[i + 1 : i + 1 + len(block)] = _mod(block)
             self.sums.append(sums)
 
@@ -90,12 +96,22 @@ class PrefixHash:
         return low
 
 
+def common_prefix(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common prefix of two texts' code points: equal blocks by their hashes, then a binary search."""
+    n = min(len(a), len(b))
+    for at in range(0, n, BLOCK):
+        x, y = PrefixHash(a[at : min(n, at + BLOCK)]), PrefixHash(b[at : min(n, at + BLOCK)])
+        if not x.equal(0, y, 0, x.n):
+            return at + x.extension(0, y, 0)
+    return n
+
+
 def _windows(code: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all spans of that size in a block, from its prefix array."""
     base = BASES[0]
     sums = np.empty(len(code) + 1, np.int64)
     sums[0] = 0
-    np.cumsum(_mod((code + 1) * powers(base, len(code))), out=sums[1:])
+    np.cumsum(_terms(code, base), out=sums[1:])
     sums = _mod(sums)
     back = powers(pow(base, -1, P), len(code) - size + 1)
     return _mod((sums[size:] - sums[:-size] + P) * back)
@@ -123,7 +139,7 @@ def fingerprint(text: str | np.ndarray) -> str:
     for at in range(0, n, BLOCK):
         block = code[at : at + BLOCK]
         for k, base in enumerate(BASES):
-            own = int(_mod((block + 1) * powers(base, len(block))).sum()) % P
+            own = int(_terms(block, base).sum()) % P
             ends[k] = (ends[k] + own * pow(base, at, P)) % P
         with_next = code[at : at + BLOCK + size - 1]
         if len(with_next) >= size:
@@ -169,7 +185,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: tuple | None = None
     for batch in batches:
         rows: list[tuple] = []
-        for part, look, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "look", "doc_id", "text")), strict=True):
+        for k in range(batch.num_rows):
+            part, look, doc_id, text = (batch.column(c)[k].as_py() for c in ("part", "look", "doc_id", "text"))
             code = points(text)
             print_ = fingerprint(code)
             if held and held[0] == part and not held[1]:
@@ -181,65 +198,63 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compared(doc_id: int, code: np.ndarray, print_: str, after: np.ndarray, print_after: str) -> tuple:
     new = edited(code, after)
     print_new = fingerprint(new)
-    sha = hashlib.sha256(new.astype("<u4").tobytes().decode("utf-32-le").encode()).hexdigest()
-    same = len(code) if print_ == print_new else PrefixHash(code).extension(0, PrefixHash(new), 0)
-    return (doc_id, len(code), sha, print_, print_new, likeness(print_, print_new), likeness(print_, print_after), same)
+    sha = hashlib.sha256()
+    for at in range(0, len(new), BLOCK):
+        sha.update(new[at : at + BLOCK].tobytes().decode("utf-32-le").encode())
+    same = len(code) if print_ == print_new else common_prefix(code, new)
+    return (doc_id, len(code), sha.hexdigest(), print_, print_new, likeness(print_, print_new), likeness(print_, print_after), same)
 
 
 def successors(docs: DataFrame) -> DataFrame:
     """Rows (part, look, doc_id, text), dealt out by part and sorted, so that each document is followed by the next one.
 
     Parts are ranges of doc_id of about equal size, as many as there are shuffle partitions. The first documents of a part
-    also go, as guests (look), to the end of the part before; so no task needs more than its own rows.
+    also go, as guests (look), to the end of the part before; so no task needs more than its own rows. The driver has a few
+    numbers a part.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select("doc_id")
     shares = [k / n for k in range(1, n)]
     cuts = ids.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] if shares else None  # n - 1 ids
-    cuts = np.unique(np.array(cuts or [], np.int64))
-
-    firsts = stash(ids.withColumn("part", _part(cuts)("doc_id")).groupBy("part").agg(F.min("doc_id").alias("first"), F.count_if(F.col("doc_id").isNull()).alias("nulls")))
-    placed = docs.select("doc_id", whole(F.col("text")).alias("text"), _placed(cuts, firsts.orderBy("part").toPandas())("doc_id").alias("p"))  # a row a part
-    own = F.struct(F.col("p.part").alias("part"), F.lit(False).alias("look"))
-    guest = F.struct(F.col("p.guest").alias("part"), F.lit(True).alias("look"))
-    dealt = placed.select(F.explode(F.when(F.col("p.guest") < 0, F.array(own)).otherwise(F.array(own, guest))).alias("p"), "doc_id", "text")
+    cuts = sorted(set(cuts or []))
+
+    part = _part(F.col("doc_id"), cuts)
+    firsts = ids.select(part.alias("part"), "doc_id").groupBy("part")
+    firsts = firsts.agg(F.min("doc_id").alias("first"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).orderBy("part").collect()  # a row a part
+    before, first, nulls = [-1] * (len(cuts) + 1), [0] * (len(cuts) + 1), [False] * (len(cuts) + 1)
+    for k, row in enumerate(firsts):
+        before[row["part"]], first[row["part"]], nulls[row["part"]] = firsts[k - 1]["part"], row["first"] or 0, row["nulls"] > 0
+    of = lambda values: F.get(F.lit(values), F.col("part"))
+    starts = F.when(of(nulls), F.col("doc_id").isNull()).otherwise(F.col("doc_id").eqNullSafe(of(first)))
+
+    placed = docs.select(part.alias("part"), "doc_id", whole(F.col("text")).alias("text"))
+    own = F.struct(F.col("part"), F.lit(False).alias("look"))
+    guest = F.struct(of(before).alias("part"), F.lit(True).alias("look"))
+    dealt = placed.select(F.explode(F.when(starts, F.array(own, guest)).otherwise(F.array(own))).alias("p"), "doc_id", "text")
     dealt = dealt.select("p.part", "p.look", "doc_id", "text").repartitionById(n, F.col("part"))
     return dealt.sortWithinPartitions("part", "look", "doc_id", "text")
 
 
-def _part(cuts: np.ndarray):
-    @F.pandas_udf("int")
-    def part(doc_id: pd.Series) -> pd.Series:
-        at = np.searchsorted(cuts, doc_id.fillna(0).astype("int64"), side="right")
-        return pd.Series(np.where(doc_id.notna(), at, 0).astype("int32"))
-
-    return part
-
-
-def _placed(cuts: np.ndarray, firsts: pd.DataFrame):
-    """UDF: the part of a doc_id, and the part before if it is its part's first id, else -1."""
-    n = len(cuts) + 1
-    before, first = np.full(n, -1), np.zeros(n, np.int64)
-    null_first = np.zeros(n, bool)
-    parts = firsts["part"].to_numpy()
-    before[parts] = np.roll(parts, 1)
-    first[parts] = firsts["first"].fillna(0).astype("int64")
-    null_first[parts] = firsts["nulls"].to_numpy() > 0
+def _part(doc_id: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at doc_id or under it, by binary search; 0 for null."""
+    if not cuts:
+        return F.lit(0)
+    held = F.lit(cuts)
 
-    @F.pandas_udf("part int, guest int")
-    def placed(doc_id: pd.Series) -> pd.DataFrame:
-        known, ids = doc_id.notna().to_numpy(), doc_id.fillna(0).astype("int64").to_numpy()
-        part = np.where(known, np.searchsorted(cuts, ids, side="right"), 0)
-        is_first = np.where(null_first[part], ~known, known & (ids == first[part]))
-        return pd.DataFrame({"part": part.astype("int32"), "guest": np.where(is_first, before[part], -1).astype("int32")})
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        right = (acc["low"] < acc["high"]) & (F.get(held, mid) <= doc_id)
+        return F.when(right, F.struct((mid + 1).alias("low"), acc["high"].alias("high"))).otherwise(F.struct(acc["low"].alias("low"), F.least(mid, acc["high"]).alias("high")))
 
-    return placed
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+    steps = F.sequence(F.lit(0), F.lit(len(cuts).bit_length()))
+    return F.when(doc_id.isNull(), 0).otherwise(F.aggregate(steps, start, step, lambda acc: acc["low"]))
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """OUT for each of docs(doc_id, text): its fingerprint, that of its edited text, and what they have in common."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2 << 20)
     return successors(docs).mapInArrow(_pairs, _ddl())
 
 
