@@ -182,7 +182,7 @@ def test_patterns_meet_the_demand(seed):
 
 
 def test_scores(docs, nothing):
-    how = hmm.Setup(states=3, symbols=8, classes=16, table=12, start_rows=20)
+    how = hmm.Setup(states=3, symbols=8, classes=16, table=12, anchors=4)
     got = hmm.scored(docs, how).collect()
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0 if i is not None else True
     tokens = [(i, WORDS.findall(whole(t).translate(LOWER)) + [""]) for i, t in TEXTS]

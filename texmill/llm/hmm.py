@@ -3,36 +3,38 @@
 A token is a lower-cased word, or the end of a text. The `symbols` most frequent tokens are symbols of their own; any other
 belongs to the class that its last letters hash to. States emit symbols; a class emits its words by their counts, less a
 discount that goes to the words never seen in it. So the probability of a text is that of its symbols (the forward recursion,
-scaled at each token, which is exact) times that of each word within its class, and the probabilities of all continuations
+scaled as it goes, which is exact) times that of each word within its class, and the probabilities of all continuations
 of a text sum to one, words unseen in a class counted as one.
 
-Token counts come from all training documents. Each Baum-Welch pass adds up expected counts by partition, and Spark adds
-those by symbol; a bounded sample of documents only chooses where the passes start. The counts of the `table` most frequent
-tokens go to the workers; the rest, a few for each document, meet their counts in a join.
+Everything is gathered from all training documents: token counts; where the passes start (each document's symbols are added
+to those of the frequent word that it has most in excess, and the driver merges these sums down to the states); and the
+expected counts of each Baum-Welch pass, by partition and then by symbol. The counts of the `table` most frequent tokens go
+to the workers; the rest, a few for each document, meet their counts in a join.
 
 Defined cases: null text is the empty text, of one token (its end). Without training documents N, V and all counts are zero,
-and states emit evenly. Rows with equal texts have equal scores. Null doc_id counts as held out. Other columns are ignored.
+and states emit evenly. Tokens of equal count are ranked by their letters. Rows with equal texts have equal scores. Null
+doc_id counts as held out. Other columns are ignored. Scoring takes a text of any length whole; for training one of more than
+`piece` tokens is cut into pieces, so that a worker's arrays stay bounded.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from texmill.llm.text import id_remainder, small_batches, whole
 from texmill.storage import stash
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: The end of a text as a token; no word is empty.
 END = ""
+#: Marks that may follow a word's letters.
+MARKS = ".,;:!?\"')"
 
 
 @dataclass(frozen=True)
@@ -43,26 +45,37 @@ class Setup:
     table: int = 131_072
     passes: int = 2
     discount: float = 0.6
-    #: Documents that choose the starting point, those with the least hashes of their ids.
-    start_rows: int = 800
+    #: Frequent words that documents are sorted by for the starting point.
+    anchors: int = 32
+    piece: int = 65_536
 
     @property
     def kinds(self) -> int:
         return self.symbols + self.classes
 
 
-def tokens(text: str) -> list[str]:
-    found = WORD.findall(text.encode().translate(LOWER).decode())  # bytes: letters beyond ASCII make str.translate slow
-    found.append(END)
-    return found
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts, lower-cased A-Z, in one array; how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = lists.flatten()
+    there = pc.greater(pc.binary_length(flat), 0)  # white space at either end leaves an empty word
+    ends = np.r_[0, np.cumsum(there.to_numpy(zero_copy_only=False))][lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    return flat.filter(there), np.diff(ends)
 
 
 def klass(word: str, how: Setup) -> int:
     """Symbol of a word that has none of its own: by its last three letters, and a mark if it ends in none."""
-    bare = word.rstrip(".,;:!?\"')")
+    bare = word.rstrip(MARKS)
     return how.symbols + zlib.crc32((bare[-3:] + "." * (bare != word)).encode()) % how.classes
 
 
+def klass_of(word: Column, how: Setup) -> Column:
+    """klass() as a native expression."""
+    bare = F.rtrim(word, F.lit(MARKS))
+    ending = F.concat(F.right(bare, F.lit(3)), F.when(bare != word, ".").otherwise(""))
+    return (F.lit(how.symbols) + F.crc32(ending.cast("binary")) % how.classes).cast("int")
+
+
 @dataclass
 class Model:
     start: np.ndarray  # states
@@ -85,34 +98,53 @@ def layout(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 def forward(model: Model, out: np.ndarray, first: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(state probabilities after each token, probability of each token given those before); out: emissions of the tokens."""
     alpha, scale = np.empty_like(out), np.empty(len(out))
-    now = model.start * out[: there[0]]
     for t, n in enumerate(there):
         i, j = first[t], first[t + 1]
+        now = alpha[i:j]
         if t:
-            now = (now[:n] @ model.move) * out[i:j]
-        total = now.sum(axis=1)
-        now = now / total[:, None]
-        alpha[i:j], scale[i:j] = now, total
+            np.matmul(alpha[first[t - 1] : first[t - 1] + n], model.move, out=now)
+            now *= out[i:j]
+        else:
+            np.multiply(model.start, out[i:j], out=now)
+        total = np.add.reduce(now, axis=1, out=scale[i:j])
+        now /= total[:, None]
     return alpha, scale
 
 
+def likelihoods(model: Model, texts: list[np.ndarray], stride: int = 8) -> np.ndarray:
+    """log10 probability of each text. The forward recursion, scaled at every stride-th token, holds one token of each text."""
+    flat, first, there, order = layout(texts)
+    logs, now = np.zeros(len(texts)), np.ones((len(texts), 1)) * model.start
+    for t, n in enumerate(there):
+        now = (now[:n] @ model.move if t else now) * model.emit[flat[first[t] : first[t + 1]]]
+        going = there[t + 1] if t + 1 < len(there) else 0
+        if going < n:  # the others end here
+            logs[going:n] += np.log10(now[going:].sum(axis=1))
+        if t % stride == stride - 1:
+            total = now.sum(axis=1, keepdims=True)
+            now /= total
+            logs[:going] += np.log10(total[:going, 0])
+    back = np.empty_like(logs)
+    back[order] = logs
+    return back
+
+
 def expected(model: Model, texts: list[np.ndarray], kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of starts, moves and emissions (kinds x states): the scaled forward and backward recursions."""
     flat, first, there, _ = layout(texts)
     out = model.emit[flat]
     alpha, scale = forward(model, out, first, there)
-    gamma, moves = alpha, np.zeros_like(model.move)  # in place: a token's alpha is not needed once its gamma is known
-    back = np.empty((0, out.shape[1]))
-    for t in range(len(there) - 2, -1, -1):
-        n, i, j = there[t + 1], first[t + 1], first[t + 2]
-        beta = np.ones((n, out.shape[1]))
-        beta[: len(back)] = back
-        ahead = out[i:j] * beta / scale[i:j, None]
-        moves += model.move * (alpha[first[t] : first[t] + n].T @ ahead)
-        back = ahead @ model.move.T
-        gamma[first[t] : first[t] + n] *= back
-    emitted = np.stack([np.bincount(flat, gamma[:, s], minlength=kinds) for s in range(out.shape[1])], axis=1)
-    return gamma[: there[0]].sum(axis=0), moves, emitted
+    out /= scale[:, None]
+    after, back_move = np.ones_like(out), np.ascontiguousarray(model.move.T)
+    for t in range(len(there) - 1, 0, -1):  # out becomes a token's emission times what comes after it
+        n, i, j = there[t], first[t], first[t + 1]
+        out[i:j] *= after[i:j]
+        np.matmul(out[i:j], back_move, out=after[first[t - 1] : first[t - 1] + n])
+    before = np.arange(there[0], len(flat)) - np.repeat(there[:-1], there[1:])  # place of each token's predecessor
+    moves = model.move * (alpha[before].T @ out[there[0] :])
+    alpha *= after
+    emitted = np.stack([np.bincount(flat, alpha[:, s], minlength=kinds) for s in range(out.shape[1])], axis=1)
+    return alpha[: there[0]].sum(axis=0), moves, emitted
 
 
 def estimate(starts: np.ndarray, moves: np.ndarray, emitted: np.ndarray, kept: float = 0.01) -> Model:
@@ -120,66 +152,84 @@ def estimate(starts: np.ndarray, moves: np.ndarray, emitted: np.ndarray, kept: f
     return Model(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), emitted / emitted.sum(axis=0))
 
 
-def beginning(texts: list[np.ndarray], how: Setup) -> Model:
-    """Where the passes start: each text of the sample as drawn from one state, by expectation maximisation."""
-    rng = np.random.default_rng(7)
-    if not texts:
-        return estimate(np.zeros(how.states), np.zeros((how.states,) * 2), np.zeros((how.kinds, how.states)))
-    counts = np.stack([np.bincount(t, minlength=how.kinds) for t in texts]).astype(float)
-    shares = counts / counts.sum(axis=1, keepdims=True)
-    seeds = [int(rng.integers(len(texts)))]
-    root = np.sqrt(shares)
-    for _ in range(how.states - 1):  # far apart, so that states begin as different as the sample has them
-        away = np.maximum(1 - np.einsum("tk,sk->ts", root, root[seeds]).max(axis=1), 0)
-        seeds.append(int(rng.choice(len(texts), p=away / away.sum())) if away.sum() > 1e-9 else int(rng.integers(len(texts))))
-    emit = (shares[seeds] + shares.mean(axis=0) + 1e-6).T
-    emit /= emit.sum(axis=0)
-    weight = np.full(how.states, 1 / how.states)
-    for _ in range(30):
-        fit = np.einsum("tk,ks->ts", counts, np.log(emit)) + np.log(weight)
-        fit = np.exp((fit - fit.max(axis=1, keepdims=True)) * 0.2)  # tempered: texts are not all of one kind
-        fit /= fit.sum(axis=1, keepdims=True)
-        emit = np.einsum("tk,ts->ks", counts, fit) + 0.05
-        emit /= emit.sum(axis=0)
-        weight = fit.mean(axis=0) + 1e-6
-        weight /= weight.sum()
+def anchored(texts: list[np.ndarray], shares: np.ndarray, kinds: int) -> np.ndarray:
+    """Counts of kinds, and of texts in a last row, by the anchor that each text has most in excess. Anchors are symbols
+    1 to len(shares), shares their shares of all tokens."""
+    a = len(shares)
+    flat, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    of = np.flatnonzero((flat >= 1) & (flat <= a))
+    found = np.bincount(owner[of] * a + flat[of] - 1, minlength=len(texts) * a).reshape(-1, a)
+    due = sizes[:, None] * shares
+    most = ((found - due) / np.sqrt(due + 1)).argmax(axis=1)
+    counts = np.bincount(most[owner] * kinds + flat, minlength=a * kinds).reshape(a, kinds)
+    return np.vstack([counts.T, np.bincount(most, minlength=a)]).astype(float)
+
+
+def beginning(sums: np.ndarray, how: Setup) -> Model:
+    """Where the passes start, from the summed counts by anchor: the likest two anchors are merged until a state has one."""
+    rows = [row for row in sums.T if row[-1] > 0]
+    while len(rows) > how.states:
+        weight = np.array([row[:-1].sum() for row in rows])
+        root = np.sqrt(np.array([row[:-1] for row in rows]) / weight[:, None])
+        loss = (2 - 2 * root @ root.T) * (weight[:, None] * weight / (weight[:, None] + weight))
+        i, j = divmod(int(np.where(np.eye(len(rows), dtype=bool), np.inf, loss).argmin()), len(rows))
+        rows[i] = rows[i] + rows[j]
+        del rows[j]
+    rng, every = np.random.default_rng(7), sums.sum(axis=1)
+    while len(rows) < how.states:  # states that no anchor has begin as the corpus, moved a little
+        rows.append(every * rng.uniform(0.5, 1.5, len(every)) / how.states)
+    emit = np.array([row[:-1] for row in rows]).T + 0.05
+    mean = (every[:-1] + 0.05) / (every[:-1] + 0.05).sum()
+    emit = emit / emit.sum(axis=0) + 0.1 * mean[:, None]
+    weight = np.array([row[-1] for row in rows]) + 1.0
     move = np.full((how.states,) * 2, 0.1 / how.states) + np.eye(how.states) * 0.9
-    return Model(weight, move, emit)
+    return Model(weight / weight.sum(), move, emit / emit.sum(axis=0))
 
 
 def parts(texts: list[np.ndarray], most: int = 300_000) -> Iterator[list[int]]:
-    """Places of texts, split so that no part but one of a single text has more than `most` tokens."""
+    """Places of texts, longest first, split so that no part but one of a single text has more than `most` tokens."""
     held, size = [], 0
-    for k, t in enumerate(texts):
-        if held and size + len(t) > most:
+    for k in sorted(range(len(texts)), key=lambda k: -len(texts[k])):
+        if held and size + len(texts[k]) > most:
             yield held
             held, size = [], 0
         held.append(k)
-        size += len(t)
+        size += len(texts[k])
     if held:
         yield held
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flush() -> Iterator[pa.RecordBatch]:
-        words, n = list(tally), list(tally.values())
-        for at in range(0, len(words), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000], pa.string()), pa.array(n[at : at + 50_000], pa.int64())], names=["word", "n"])
-
-    tally: Counter = Counter()
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.Table]:
+    """The rows of batches, together until they have that many bytes: texts of like length can then go together."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            tally.update(tokens(text))
-            if len(tally) > 200_000:
-                yield from flush()
-                tally.clear()
-    yield from flush()
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= most:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def _classes(batches: Iterator[pa.RecordBatch], how: Setup, own: set[str]) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n), summed within a task until the words are many; END counts texts."""
+    held: list[pa.Table] = []
     for batch in batches:
-        k = [-1 if w in own else klass(w, how) for w in batch.column("word").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), batch.column("c")], names=["k", "c"])
+        words, sizes = tokens(batch.column("text"))
+        found = pc.value_counts(words)
+        ends = pa.table({"word": pa.array([END], pa.string()), "n": pa.array([len(sizes)], pa.int64())})
+        held += [pa.table({"word": found.field("values"), "n": found.field("counts")}), ends]
+        if sum(t.num_rows for t in held) > 1_000_000:
+            held = [_summed(held)]
+            if held[0].num_rows > 500_000:
+                yield from held.pop().to_batches(50_000)
+    if held:
+        yield from _summed(held).to_batches(50_000)
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"]).combine_chunks()
 
 
 @dataclass
@@ -209,7 +259,6 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, how: Setup) -> Vocabulary:
-    spark = counts.sparkSession
     of_end = F.coalesce(F.max(F.when(F.col("word") == END, F.col("c"))), F.lit(0))
     n, v, end = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), of_end).first()
     top = counts.filter(F.col("word") != END).orderBy(F.desc("c"), "word").limit(how.table).toArrow()  # a bounded table of the most frequent
@@ -217,11 +266,14 @@ def vocabulary(counts: DataFrame, how: Setup) -> Vocabulary:
     words = [END, *found]
     symbol = np.full(len(words), -1)
     symbol[: how.symbols] = np.arange(min(how.symbols, len(words)))
-    own = spark.sparkContext.broadcast(set(words[: how.symbols]))
-    each = counts.mapInArrow(lambda b: _classes(b, how, own.value), "k int, c long").filter("k >= 0").groupBy("k").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("types"))
+    each = counts.groupBy(klass_of(F.col("word"), how).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("types"))
     in_class, types = np.zeros(how.kinds), np.zeros(how.kinds)
     for k, total, kinds in each.collect():  # a row a class
         in_class[k], types[k] = total, kinds
+    for w, c in zip(words[: how.symbols], [end, *found.values()], strict=False):  # those have symbols of their own
+        if c:
+            in_class[klass(w, how)] -= c
+            types[klass(w, how)] -= 1
     place = {w: i for i, w in enumerate(words)}
     return Vocabulary(n, v, end, place, np.array([end, *found.values()], float), symbol, in_class, types)
 
@@ -231,64 +283,90 @@ ENCODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base doub
 
 def _encoded(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, how: Setup) -> Iterator[pa.RecordBatch]:
     """Symbols of each text, what the frequent tokens add to its sums, and its other words with their numbers."""
-    place = vocab.place
     kind, base, inner = vocab.tables(how)
+    frequent = pa.array(list(vocab.place), pa.string())  # in order of place
     memory: dict[str, int] = {}
     for batch in batches:
-        out: list[tuple] = []
+        words, sizes = tokens(batch.column("text"))
+        rows = len(sizes)
+        owner = np.repeat(np.arange(rows), sizes)
+        at = pc.index_in(words, value_set=frequent).fill_null(-1).to_numpy()
+        known, missing = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        codes = kind[at]  # -1 takes the last entry, put right below
+        rare = words.take(pa.array(missing)).dictionary_encode()
+        names, which = rare.dictionary.to_pylist(), rare.indices.to_numpy()
         if len(memory) > 200_000:
             memory.clear()
-        for doc_id, held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
-            words = tokens(text)
-            at = np.array([place.get(w, -1) for w in words])
-            known = at[at >= 0]
-            codes = kind[at]  # -1 takes the last entry, put right below
-            rare: Counter = Counter()
-            if len(known) < len(words):
-                missing = np.flatnonzero(at < 0)
-                unknown = [words[i] for i in missing.tolist()]
-                rare = Counter(unknown)
-                for w in rare:
-                    if w not in memory:
-                        memory[w] = klass(w, how)
-                codes[missing] = [memory[w] for w in unknown]
-            ks = codes.astype("<u2").tobytes()
-            out.append((doc_id, held, len(words), len(known) - (vocab.end == 0), float(base[known].sum()), float(inner[known].sum()), ks, list(rare), list(rare.values()), [memory[w] for w in rare]))
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        columns = zip(*out, strict=True) if out else [[]] * len(types)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in ENCODED.split(", ")])
-
-
-def _texts(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(b, "<u2").astype(np.int64) for b in batch.column("symbols").to_pylist()]
-
-
-def train(encoded: DataFrame, how: Setup) -> Model:
+        of_name = np.array([memory.get(w) or memory.setdefault(w, klass(w, how)) for w in names], np.int64)
+        codes[missing] = of_name[which]
+        pair, often = np.unique(owner[missing] * max(1, len(names)) + which, return_counts=True)
+        name, offsets = pair % max(1, len(names)), np.searchsorted(pair, np.arange(rows + 1) * max(1, len(names))).astype(np.int32)
+        listed = lambda values, offsets=offsets: pa.ListArray.from_arrays(pa.array(offsets), values)
+
+        last = np.cumsum(sizes + 1)  # after the end token of each text
+        symbols = np.full(last[-1] if rows else 0, kind[0], "<u2")
+        symbols[np.arange(len(codes)) + owner] = codes
+        data = symbols.tobytes()
+        summed = lambda values, known=known, owner=owner, at=at, rows=rows: np.bincount(owner[known], values[at[known]], rows) + values[0]
+        columns = {
+            "doc_id": batch.column("doc_id"),
+            "held_out": batch.column("held_out"),
+            "n_tokens": pa.array(sizes + 1, pa.int64()),
+            "n_known": pa.array(np.bincount(owner[known], minlength=rows) + (vocab.end > 0), pa.int64()),
+            "base": pa.array(summed(base)),
+            "inner": pa.array(summed(inner)),
+            "symbols": pa.array([data[2 * i : 2 * j] for i, j in zip(np.r_[0, last[:-1]].tolist(), last.tolist(), strict=True)] if rows else [], pa.binary()),
+            "rare": listed(rare.dictionary.take(pa.array(name))),
+            "rare_n": listed(pa.array(often, pa.int32())),
+            "rare_k": listed(pa.array(of_name[name], pa.int32())),
+        }
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _texts(rows: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(b, "<u2").astype(np.int64) for b in rows.column("symbols").to_pylist()]
+
+
+def _added(rows: DataFrame, count, names: list[str], shape: tuple[int, int]) -> np.ndarray:
+    """Sums over all rows of the tables that count(texts) gives, one a task; only shape[0] rows reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for some in gathered(batches):
+            total += count(_texts(some))
+        there = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *(pa.array(total[there, s]) for s in range(shape[1]))], names=["k", *names])
+
+    counted = rows.select("symbols").mapInArrow(run, "k int, " + ", ".join(f"{s} double" for s in names))
+    total = np.zeros(shape)
+    for row in counted.groupBy("k").agg(*(F.sum(s).alias(s) for s in names)).collect():  # a row for each symbol, and a few more
+        total[row[0]] = row[1:]
+    return total
+
+
+def train(encoded: DataFrame, vocab: Vocabulary, how: Setup) -> Model:
     """Baum-Welch over the rows that are not held out."""
     spark = encoded.sparkSession
     rows = encoded.filter(~F.col("held_out"))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("symbols").limit(how.start_rows).toArrow()
-    model = beginning([np.frombuffer(b, "<u2").astype(np.int64) for b in sample.column("symbols").to_pylist()], how)
-    names = [f"s{s}" for s in range(how.states)]
+    n = min(how.anchors, how.symbols - 1)
+    shares = np.zeros(n)
+    there = vocab.count[1 : n + 1] / max(1, vocab.n)
+    shares[: len(there)] = there
+    model = beginning(_added(rows, lambda texts: anchored(texts, shares, how.kinds), [f"a{k}" for k in range(n)], (how.kinds + 1, n)), how)
     for _ in range(how.passes):
         held = spark.sparkContext.broadcast(model)
 
-        def count(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def count(texts: list[np.ndarray], held=held) -> np.ndarray:
             total = np.zeros((how.kinds + how.states + 1, how.states))
-            for batch in batches:
-                texts = _texts(batch)
-                for some in parts(texts):
-                    starts, moves, emitted = expected(held.value, [texts[k] for k in some], how.kinds)
-                    total[: how.kinds] += emitted
-                    total[how.kinds : -1] += moves
-                    total[-1] += starts
-            some = np.flatnonzero(total.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(total[some, s]) for s in range(how.states))], names=["k", *names])
-
-        counted = rows.select("symbols").mapInArrow(count, "k int, " + ", ".join(f"{s} double" for s in names))
-        total = np.zeros((how.kinds + how.states + 1, how.states))
-        for row in counted.groupBy("k").agg(*(F.sum(s).alias(s) for s in names)).collect():  # a row for each symbol, state and start
-            total[row[0]] = row[1:]
+            pieces = [t[at : at + how.piece] for t in texts for at in range(0, len(t), how.piece)]
+            for some in parts(pieces):
+                starts, moves, emitted = expected(held.value, [pieces[k] for k in some], how.kinds)
+                total[: how.kinds] += emitted
+                total[how.kinds : -1] += moves
+                total[-1] += starts
+            return total
+
+        total = _added(rows, count, [f"s{s}" for s in range(how.states)], (how.kinds + how.states + 1, how.states))
         model = estimate(total[-1], total[how.kinds : -1], total[: how.kinds])
     return model
 
@@ -299,7 +377,7 @@ def scored(docs: DataFrame, how: Setup = Setup(), held_out_of: int = 10) -> Data
     Documents whose crc32 of doc_id is 0 modulo held_out_of are not learned from.
     """
     spark = docs.sparkSession
-    small_batches(spark, 2 << 20)
+    small_batches(spark, 4 << 20)
     held = id_remainder(F.col("doc_id"), held_out_of) == 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), whole(F.col("text")).alias("text"))
     counted = rows.filter(~F.col("held_out")).select("text").mapInArrow(_counts, "word string, n long")
@@ -308,19 +386,17 @@ def scored(docs: DataFrame, how: Setup = Setup(), held_out_of: int = 10) -> Data
     given = spark.sparkContext.broadcast(vocab)
     encoded = rows.mapInArrow(lambda b: _encoded(b, given.value, how), ENCODED)
     encoded = stash(encoded.withColumn("row", F.monotonically_increasing_id()))
-    model = spark.sparkContext.broadcast(train(encoded, how))
+    model = spark.sparkContext.broadcast(train(encoded, vocab, how))
+    slim = ("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, out = _texts(batch), np.empty(batch.num_rows)
+        for rows in gathered(batches):
+            texts, logs = _texts(rows), np.empty(rows.num_rows)
             for some in parts(texts):
-                flat, first, there, order = layout([texts[k] for k in some])
-                _, scale = forward(model.value, model.value.emit[flat], first, there)
-                rank = np.arange(len(flat)) - np.repeat(first[:-1], there)
-                out[np.array(some)[order]] = np.bincount(rank, np.log10(scale), minlength=len(some))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out)], names=["row", "hmm"])
+                logs[some] = likelihoods(model.value, [texts[k] for k in some])
+            yield from rows.select(list(slim)).append_column("hmm", pa.array(logs)).combine_chunks().to_batches()
 
-    symbols = encoded.select("row", "symbols").mapInArrow(run, "row long, hmm double")
+    rows = encoded.select(*slim, "symbols").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, inner double, hmm double")
     sizes = [(k, float(vocab.in_class[k]), float(vocab.types[k])) for k in range(how.symbols, how.kinds)]
     classes = F.broadcast(spark.createDataFrame(sizes, "k int, in_class double, types double"))  # a row a class
     each = encoded.select("row", F.explode(F.arrays_zip("rare", "rare_n", "rare_k")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("n"), F.col("r.rare_k").alias("k"))
@@ -334,7 +410,7 @@ def scored(docs: DataFrame, how: Setup = Setup(), held_out_of: int = 10) -> Data
         F.sum(F.col("n") * F.when(c > 0, seen).otherwise(unseen)).alias("more_inner"),
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known"),
     )
-    out = encoded.drop("symbols", "rare", "rare_n", "rare_k").join(symbols, "row").join(sums, "row", "left")
+    out = rows.join(sums, "row", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return out.select(
         "doc_id",
