@@ -4,23 +4,23 @@ Words are lower-cased without the marks around them; a shingle is five of them.
 windows of 2s shingles that begin at every s-th, so that a passage of s shingles lies whole in some window. A window that
 holds 80 % of a template's shingles then has a Jaccard similarity with it above a bound that is known beforehand, and as
 many bands of one row are taken as miss such a window with probability `miss` at most. Every template that a band retrieves
-is checked: the share of its shingles in the window and its surroundings must reach `share`.
+is checked word by word: the share of its shingles in the window and its surroundings must reach `share`; hashes only retrieve.
 
 Defined cases: null text is the empty text, without matches. Templates of under five words cannot be sought (an error).
 Texts of any length are scanned whole; a template is reported once a document, at its best place. Repeated rows give equal
-rows. The templates are a parameter that goes to every worker, so their number must stay small. Other columns are ignored.
+rows; of equally good places the first is told, and templates that begin at one word are told by name. The templates are a parameter that goes to every worker, so their number must stay small. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from texmill.llm.text import small_batches, whole
@@ -44,9 +44,17 @@ TEMPLATES = {
 }
 
 
+def bare(word: str) -> str:
+    return word.lower().strip(".,;:!?\"'()[]{}*#$%&|")
+
+
 def word_hash(word: str) -> int:
-    data = word.lower().strip(".,;:!?\"'()[]{}*#$%&|").encode()
-    return zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)
+    return xxhash.xxh64_intdigest(bare(word).encode())
+
+
+def spelled(words: list[str], at: int) -> tuple[str, ...]:
+    """The words of the shingle that begins at a place."""
+    return tuple(map(bare, words[at : at + SHINGLE]))
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -66,6 +74,7 @@ class Sizes:
     size: int
     names: list[str]
     sets: list[np.ndarray]
+    spelled: list[set[tuple[str, ...]]]
     seeds: np.ndarray
     keys: list[np.ndarray]  # by band: each template's least hash
 
@@ -76,12 +85,13 @@ def banded(values: np.ndarray, seed: np.uint64) -> np.ndarray:
 
 
 def prepared(templates: Mapping[str, str], share: float, miss: float) -> list[Sizes]:
-    sets = {}
+    sets, told = {}, {}
     for name, text in templates.items():
-        found = np.unique(shingles(np.array([word_hash(w) for w in WORD.findall(text)], np.uint64)))
-        if not len(found):
+        own = WORD.findall(text)
+        sets[name] = np.unique(shingles(np.array([word_hash(w) for w in own], np.uint64)))
+        told[name] = {spelled(own, at) for at in range(len(own) - SHINGLE + 1)}
+        if not len(sets[name]):
             raise ValueError(f"{name}: under {SHINGLE} words")
-        sets[name] = found
     rng, out = np.random.default_rng(11), []
     for size in sorted({1 << (len(s) - 1).bit_length() for s in sets.values()}):
         names = [n for n, s in sets.items() if 1 << (len(s) - 1).bit_length() == size]
@@ -91,7 +101,7 @@ def prepared(templates: Mapping[str, str], share: float, miss: float) -> list[Si
         bands = 1 if size == 1 else math.ceil(math.log(miss) / math.log(1 - jaccard))
         seeds = rng.integers(1, 1 << 63, bands, dtype=np.uint64)
         keys = [np.array([banded(sets[n], s).min() for n in names]) for s in seeds]
-        out.append(Sizes(size, names, [sets[n] for n in names], seeds, keys))
+        out.append(Sizes(size, names, [sets[n] for n in names], [told[n] for n in names], seeds, keys))
     return out
 
 
@@ -118,11 +128,12 @@ def retrieved(values: np.ndarray, valid: np.ndarray, sizes: Sizes) -> set[tuple[
 def scan(texts: list[str], templates: list[Sizes], share: float, memory: dict[str, int]) -> list[list[tuple[str, int, int, float]]]:
     """For each text its matches (template, first word, end word, containment), by first word and name."""
     split = [WORD.findall(t) for t in texts]
-    for w in {w for ws in split for w in ws}:
+    flat = [w for ws in split for w in ws]
+    for w in set(flat):
         if w not in memory:
             memory[w] = word_hash(w)
     lengths = np.array([len(ws) for ws in split], np.int64)
-    words = np.fromiter((memory[w] for ws in split for w in ws), np.uint64, int(lengths.sum()))
+    words = np.fromiter(map(memory.__getitem__, flat), np.uint64, len(flat))
     values, owner = shingles(words), np.repeat(np.arange(len(texts)), lengths)
     out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
     if not len(values):
@@ -135,9 +146,11 @@ def scan(texts: list[str], templates: list[Sizes], share: float, memory: dict[st
             low, high = max(0, at - sizes.size), min(len(values), at + 3 * sizes.size)
             place = np.arange(low, high)
             place = place[valid[low:high] & np.isin(values[low:high], sizes.sets[k])]
+            equal = {i: t for i in place.tolist() if (t := spelled(flat, i)) in sizes.spelled[k]}
+            place = np.array(list(equal), np.int64)
             for text in np.unique(owner[place]).tolist():
                 mine = place[owner[place] == text]
-                held = len(np.unique(values[mine])) / len(sizes.sets[k])
+                held = len({equal[i] for i in mine.tolist()}) / len(sizes.spelled[k])
                 spot = (held, -int(mine[0] - begins[text]), int(mine[-1] - begins[text]) + SHINGLE)
                 if held >= share:
                     best[text, sizes.names[k]] = max(best.get((text, sizes.names[k]), spot), spot)

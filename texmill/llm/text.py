@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from texmill.storage import reachable
 
@@ -16,6 +17,21 @@ def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def column(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, with_text: bool = True) -> Column:
+    """All columns of docs (text only if asked for) as one struct _doc, so that no name of theirs can clash."""
+    return F.struct(*(column(c) for c in docs.columns if with_text or c != "text")).alias("_doc")
+
+
+def doc_schema(rows: DataFrame, *fields: tuple[str, DataType]) -> StructType:
+    """_doc as rows have it, then the fields."""
+    return StructType([rows.schema["_doc"], *(StructField(name, kind) for name, kind in fields)])
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text that is not null; empty if it has none."""
     bare = F.btrim(text, F.lit(SPACE))
