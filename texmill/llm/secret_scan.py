@@ -6,7 +6,8 @@ Kinds assign, access and hex are always reported. Kind blob (a long mixed token)
 touches no other span. DataFrame operations only.
 
 Defined cases: null text is the empty text and has no spans. Null owner or repository counts as one more value. Repeated
-rows are scanned one by one; as one repository they count once. Texts may hold any characters. Other columns are kept.
+rows are scanned one by one; as one repository they count once. Texts may hold any characters and any number of spans: the
+work grows with the text and with n log n of its spans. Spans that begin at one place are ordered by kind. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from texmill.llm.text import whole
+from texmill.llm.text import packed, whole
 from texmill.storage import stash
 
 #: Patterns of the base kinds; fixed by the contract. Group 1 leads, group 2 is the value.
@@ -28,22 +29,41 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Noncharacters that mark where a match begins, its value begins, and it ends; in a text they count as one other character.
 BEGIN, VALUE, END, OTHER = "\ufdd0", "\ufdd1", "\ufdd2", "\ufffd"
 SPAN = "struct<start:int,kind:int,end:int,hash:string>"
+#: Letters that redacted() takes together, so that no place is counted out from the beginning of a long text.
+CHUNK = 1024
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array under add: each round adds what lies twice as far back, so n values take n log n steps."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+    back = lambda acc, k: F.concat(F.array_repeat(F.lit(None).cast("int"), F.call_function("shiftleft", F.lit(1), k).cast("int")), acc)
+    step = lambda acc, k: F.zip_with(acc, F.slice(back(acc, k), 1, F.size(acc)), lambda x, y: F.when(y.isNull(), x).otherwise(add(x, y)))
+    return F.aggregate(rounds, values, step)
 
 
 def matches(text: Column, pattern: str, kind: str, good: Callable[[Column], Column]) -> Column:
     """Array of SPAN: leftmost non-overlapping matches whose value is good; kind is a place in KINDS."""
     parts = F.split(F.regexp_replace(text, pattern, f"{BEGIN}$1{VALUE}$2{END}"), BEGIN)
 
-    def step(acc: Column, part: Column) -> Column:
+    def piece(part: Column) -> Column:
         lead, after = F.split(part, VALUE)[0], F.split(part, VALUE)[1]
         value, rest = F.split(after, END)[0], F.split(after, END)[1]
-        end = acc["at"] + F.length(lead) + F.length(value)
-        span = F.struct(acc["at"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), F.sha2(value, 256).alias("hash"))
-        found = F.when(good(value), F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
-        return F.struct((end + F.length(rest)).alias("at"), found.alias("found"))
+        length = (F.length(lead) + F.length(value)).alias("length")
+        return F.struct(length, F.length(rest).alias("rest"), good(value).alias("good"), F.when(good(value), F.sha2(value, 256)).alias("hash"))
+
+    def placed(pieces: Column, first: Column) -> Column:
+        after = running(F.transform(pieces, lambda p: p["length"] + p["rest"]), lambda x, y: x + y)
+        begin = lambda p, at: first + at - p["rest"] - p["length"]
+        span = lambda p, at: F.struct(begin(p, at).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (first + at - p["rest"]).alias("end"), p["hash"].alias("hash"))
+        return F.filter(F.zip_with(pieces, after, lambda p, at: F.when(p["good"], span(p, at))), lambda s: s.isNotNull())
 
-    start = F.struct(F.length(parts[0]).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
-    return F.aggregate(F.slice(parts, 2, F.size(parts)), start, step, lambda acc: acc["found"])
+    made = lambda x: F.struct(F.length(x[0]).alias("first"), F.transform(F.slice(x, 2, F.size(x)), piece).alias("pieces"))
+    return once(once(parts, made), lambda x: placed(x["pieces"], x["first"])).cast(f"array<{SPAN}>")
 
 
 def spans(text: Column) -> Column:
@@ -76,9 +96,8 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 def scanned(docs: DataFrame, owner: str = "source", repository: str = "doc_id", min_owners: int = 3, with_text: bool = False) -> DataFrame:
     """_doc: the columns of docs (text only if asked for); _spans: the reported spans by start and kind, each with live."""
-    own = [c for c in docs.columns if with_text or c != "text"]
     row = docs.select(
-        F.struct(*own).alias("_doc"), F.col(owner).alias("owner"), F.col(repository).alias("repository"), spans(whole(F.col("text"))).alias("_found")
+        packed(docs, with_text), F.col(owner).alias("owner"), F.col(repository).alias("repository"), spans(whole(F.col("text"))).alias("_found")
     )
     row = stash(row.withColumn("_row", F.monotonically_increasing_id()))
     holding = row.filter(F.size("_found") > 0)
@@ -88,13 +107,22 @@ def scanned(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
     span = F.struct(*(F.col(f"s.{c}").alias(c) for c in ("start", "kind", "end")), F.col("live"))
     told = each.join(known, "hash").filter((F.col("s.kind") != blob) | F.col("live"))
     told = told.groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("_all"))
-    touches = lambda b: F.exists("_all", lambda x: (x["kind"] != blob) & (x["start"] < b["end"]) & (x["end"] > b["start"]))
-    told = told.select("_row", F.filter("_all", lambda b: (b["kind"] != blob) | ~touches(b)).alias("_spans"))
+    told = told.select("_row", _apart(F.col("_all"), blob).alias("_spans"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>")
     with_spans = holding.join(told, "_row", "left").select("_doc", F.coalesce("_spans", none).alias("_spans"))
     return with_spans.unionByName(row.filter(F.size("_found") == 0).select("_doc", none.alias("_spans")))
 
 
+def _apart(spans: Column, blob: int) -> Column:
+    """The sorted spans without those of kind blob that touch one of another kind, by what ends before and begins after them."""
+    ends = running(F.transform(spans, lambda s: F.when(s["kind"] != blob, s["end"]).otherwise(-1)), lambda x, y: F.greatest(x, y))
+    starts = F.reverse(F.transform(spans, lambda s: F.when(s["kind"] != blob, s["start"]).otherwise(2**31 - 1)))
+    starts = F.reverse(running(starts, lambda x, y: F.least(x, y)))
+    around = F.zip_with(ends, starts, lambda e, s: F.struct(e.alias("before"), s.alias("after")))
+    touching = lambda s, a: (s["kind"] == blob) & ((a["before"] > s["start"]) | (a["after"] < s["end"]))
+    return F.filter(F.zip_with(spans, around, lambda s, a: F.when(~touching(s, a), s)), lambda s: s.isNotNull())
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
@@ -102,15 +130,22 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, live_as: str = "[SECRET]", example_as: str = "[EXAMPLE]") -> Column:
-    """The text with each run of touching spans replaced, and no other change."""
-
-    def step(acc: Column, s: Column) -> Column:
-        tag = F.when(s["live"], F.lit(live_as)).otherwise(F.lit(example_as))
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), tag)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    )
+    """The text with each run of overlapping spans replaced, and no other change; spans are sorted by start."""
+
+    def between(chunks: Column, start: Column, end: Column) -> Column:
+        i, j = (F.floor(x / CHUNK).cast("int") for x in (start, end))
+        first, last = (F.coalesce(F.get(chunks, k), F.lit("")) for k in (i, j))
+        within = F.substr(first, start % CHUNK + 1, end - start)
+        across = F.concat(F.substr(first, start % CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, i + 2, j - i - 1), ""), F.substr(last, F.lit(1), end % CHUNK))
+        return F.when(i == j, within).otherwise(across)
+
+    def joined(x: Column) -> Column:
+        tag = lambda s: F.when(s["live"], F.lit(live_as)).otherwise(F.lit(example_as))
+        part = lambda s, at: F.when(s["start"] >= at, F.concat(between(x["chunks"], at, s["start"]), tag(s))).otherwise("")
+        ahead = F.slice(F.concat(F.array(F.lit(0)), x["ends"]), 1, F.size(x["ends"]))
+        return F.concat(F.array_join(F.zip_with(spans, ahead, part), ""), between(x["chunks"], F.element_at(x["ends"], -1), x["length"]))
+
+    ends = running(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    whole_text = F.struct(chunks.alias("chunks"), F.length(text).alias("length"), ends.alias("ends"))
+    return F.when(F.size(spans) == 0, text).otherwise(once(whole_text, joined))
