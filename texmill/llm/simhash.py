@@ -22,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType
 
 from texmill.llm.components import components
-from texmill.llm.text import small_batches, whole
+from texmill.llm.text import doc_schema, packed, small_batches, whole
 from texmill.storage import stash
 
 SHINGLE, SEED, DISTANCE, TILE = 4, 42, 4, 20_000
@@ -62,9 +63,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprinted(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """_doc: the columns of docs (text only if asked for); fp: the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*(c for c in docs.columns if with_text or c != "text")).alias("_doc"), whole(F.col("text")).alias("_text"))
-    doc = rows.schema["_doc"].dataType.simpleString()
-    return rows.mapInArrow(_fingerprints, f"_doc {doc}, fp long")
+    rows = docs.select(packed(docs, with_text), whole(F.col("text")).alias("_text"))
+    return rows.mapInArrow(_fingerprints, doc_schema(rows, ("fp", LongType())))
 
 
 def choices(n: int, distance: int = DISTANCE) -> list[tuple[np.uint64, int]]:
