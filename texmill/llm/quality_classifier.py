@@ -5,7 +5,9 @@ labelled documents, those with the least hashes of their ids, so the fit has the
 scored. A fitted forest is flattened into arrays of equal depth, and a batch walks all trees level by level in numpy.
 
 Defined cases: null text is the empty text and is scored like any other. A document with several labels counts as 1 if half
-of them or more are 1. Without labelled rows, or with one class, the score is the share of 1 (0.5 without any). Rows of equal text get equal scores.
+of them or more are 1; if its id has several texts, the least by its statistics stands for it. Without labelled rows, or with
+one class, the score is the share of 1 (0.5 without any). Rows of equal text get equal scores. Of equal splits the first
+statistic's lowest edge is taken. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
-from texmill.llm.text import small_batches, whole
+from texmill.llm.text import doc_schema, packed, small_batches, whole
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Byte classes that are counted.
@@ -163,28 +166,29 @@ def trained(docs: DataFrame, labels: DataFrame, train: Column, how: Boosting = B
     small_batches(docs.sparkSession)
     known = labels.filter(train & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.most_rows)  # the documented bound of the fit
-    texts = docs.select("doc_id", whole(F.col("text")).alias("text")).join(F.broadcast(known), "doc_id").select("quality", "text")
+    texts = docs.select("doc_id", whole(F.col("text")).alias("text")).join(F.broadcast(known), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(rows, pa.list_(pa.float64()))], names=["quality", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(rows, pa.list_(pa.float32()))], names=["doc_id", "quality", "x"])
 
-    got = texts.mapInArrow(made, "quality double, x array<double>").orderBy("quality", "x").limit(2 * how.most_rows).toArrow()
-    x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(NAMES))
+    each = texts.mapInArrow(made, "doc_id long, quality double, x array<float>")
+    got = each.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("r")).select("doc_id", "r.quality", "r.x").toArrow()  # most_rows at most
+    got = got.sort_by("doc_id").combine_chunks()
+    x = np.array(got.column("x").to_pylist(), np.float32).reshape(-1, len(NAMES)).astype(float)
     return fit(x, (got.column("quality").to_numpy() >= 0.5).astype(float), how)
 
 
 def scored(docs: DataFrame, forest: Forest, with_text: bool = False) -> DataFrame:
     """_doc: the columns of docs (text only if asked for); score: how likely label 1 is."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*(c for c in docs.columns if with_text or c != "text")).alias("_doc"), whole(F.col("text")).alias("_text"))
-    doc = rows.schema["_doc"].dataType.simpleString()
+    rows = docs.select(packed(docs, with_text), whole(F.col("text")).alias("_text"))
     held = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t) for t in batch.column("_text").to_pylist()], float).reshape(-1, len(NAMES))
+            x = np.array([features(t) for t in batch.column("_text").to_pylist()], np.float32).reshape(-1, len(NAMES)).astype(float)
             yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(held.value.score(x))], names=["_doc", "score"])
 
-    return rows.mapInArrow(run, f"_doc {doc}, score double")
+    return rows.mapInArrow(run, doc_schema(rows, ("score", DoubleType())))
