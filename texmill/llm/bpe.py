@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from texmill.llm.text import small_batches, whole
 
+#: Letters outside these ranges may be of another class, case or form in the library's version of Unicode.
+SURE = r"\x00-\u02ff\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2190-\u23ff\u2500-\u27bf"
 #: Unicode white space, as the library's regular expressions have it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
@@ -67,7 +69,7 @@ class Bpe:
         self.words = regex.compile(SPLIT)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.codes = {c: i for i, c in enumerate(self.letters)}
-        self.odd = regex.compile(r"[^\x00-\u02ff\u2000-\u2bff]")
+        self.odd = regex.compile(f"[^{SURE}]")
         self.library = tokenizers.Tokenizer.from_file(path)
         self.young: dict[str, tuple[str, int, str]] = {s: (str(i), 1, s) for s, i in self.special.items()}
         self.old: dict[str, tuple[str, int, str]] = {}
