@@ -252,10 +252,10 @@ def statistics(t):
 def test_rule_statistics(docs, nothing):
     got = quality_rules.judged(docs).collect()
     want = Counter((i, *statistics(whole(t))) for i, t in TEXTS)
-    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
+    assert Counter((r._doc.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
     for r in got:
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.base_failed and r.kept)
-        assert r.fp == "x" and isinstance(r.kept, bool)
+        assert r._doc.fp == "x" and r._doc.kept == "y" and isinstance(r.kept, bool)
     assert quality_rules.judged(nothing).count() == 0
 
 
@@ -265,7 +265,7 @@ def test_outliers_go_and_clean_rows_stay(spark):
     clean = [(i, " ".join(rng.choice(vocabulary, 80)) + ".", "en", "a" if i % 3 else "b") for i in range(300)]
     junk = [(1000 + i, " ".join(w + "$$$" for w in rng.choice(vocabulary, 80)), "en", "a") for i in range(60)]
     few = [(2000, " ".join(rng.choice(vocabulary, 80)), "xx", "rare")]
-    got = {r.doc_id: r.kept for r in quality_rules.judged(spark.createDataFrame(clean + junk + few, "doc_id long, text string, lang string, source string")).collect()}
+    got = {r._doc.doc_id: r.kept for r in quality_rules.judged(spark.createDataFrame(clean + junk + few, "doc_id long, text string, lang string, source string")).collect()}
     assert all(got[i] for i, *_ in clean + few) and not any(got[i] for i, *_ in junk)
 
 

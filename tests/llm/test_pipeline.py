@@ -30,7 +30,7 @@ def test_columns_stay(stages):
 
 def test_decisions_take_effect(spark, stages):
     docs, ruled, scored, unique, clean, packed = stages
-    assert ids(ruled) == {r.doc_id for r in quality_rules.judged(docs).filter("kept").collect()}
+    assert ids(ruled) == {r._doc.doc_id for r in quality_rules.judged(docs).filter("kept").collect()}
     assert ids(scored) <= ids(ruled)
     groups = simhash.grouped(simhash.fingerprinted(scored)).collect()
     assert ids(unique) == {r.component_id for r in groups} and unique.count() == len(ids(unique))
