@@ -29,7 +29,7 @@ def logs(rows):
 
 def test_warnings_after_line_60(spark):
     lines = [(r.doc_id, r.line_no, r.line) for r in corpus.rows(spark, "/root/testdata/sf0.01", "log_lines").collect()]
-    got = {r.doc_id: (r.formulas, r.others) for r in registry.QUERIES["converter_warnings_all"](spark, "/root/testdata/sf0.01").collect()}
+    got = {r.doc_id: (r.formulas, r.others) for r in registry.QUERIES["converter_warnings"](spark, "/root/testdata/sf0.01").collect()}
     assert got == logs(lines) and sum(n for n, _ in got.values()) == sum(x[2].startswith("[WARNING]") for x in lines)
 
 

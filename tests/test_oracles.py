@@ -43,6 +43,5 @@ def test_query_equals_sql(name, spark, duck):
     assert rows(df.columns, df.collect()) == rows([d[0] for d in cur.description], cur.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_other_queries_run(name, spark):
-    assert registry.QUERIES[name](spark, SF).count() >= 0
+def test_queries_without_sql_have_tests_of_their_own():
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"page_formulas", "script_fixes"}  # test_page_formulas, test_script_fixes

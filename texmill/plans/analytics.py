@@ -40,32 +40,27 @@ def log_errors(spark, sf_dir):
     return bang.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_errors"), F.min_by(F.regexp_extract("line", "^! (.+)$", 1), "line_no").alias("first_error"))
 
 
-_ERRORS = r"""
-with f as (select doc_id, line_no, regexp_extract(line, '^([^\s:]+\.\w+):(\d+): (.+)$', 1)||':'||regexp_extract(line, '^([^\s:]+\.\w+):(\d+): (.+)$', 2)||': '||regexp_extract(line, '^([^\s:]+\.\w+):(\d+): (.+)$', 3) as message
-  from {log_lines} where regexp_matches(line, '^([^\s:]+\.\w+):(\d+): (.+)$') and doc_id % 2 = 0),
-b as (select doc_id, line_no, regexp_extract(line, '^! (.+)$', 1) as message from {log_lines} where regexp_matches(line, '^! (.+)$') and doc_id not in (select doc_id from f)),
-m as (select doc_id, line_no + 1000000000 as line_no, 'missing package: '||regexp_extract(line, 'File `([^'']+\.sty)'' not found', 1) as message from {log_lines} where regexp_matches(line, 'File `([^'']+\.sty)'' not found'))
+#: The logs, but that odd documents name no file with their errors, so that bare ones count.
+_ERROR_LINES = "select doc_id, line_no, case when doc_id % 2 = 1 and line like './main.tex:%' then 'note '||line else line end as line from {log_lines}"
+_ERRORS = rf"""
+with log as ({_ERROR_LINES}), f as (select doc_id, line_no, regexp_extract(line, '^([^\s:]+\.\w+):(\d+): (.+)$', 1)||':'||regexp_extract(line, '^([^\s:]+\.\w+):(\d+): (.+)$', 2)||': '||regexp_extract(line, '^([^\s:]+\.\w+):(\d+): (.+)$', 3) as message
+  from log where regexp_matches(line, '^([^\s:]+\.\w+):(\d+): (.+)$')),
+b as (select doc_id, line_no, regexp_extract(line, '^! (.+)$', 1) as message from log where regexp_matches(line, '^! (.+)$') and doc_id not in (select doc_id from f)),
+m as (select doc_id, line_no + 1000000000 as line_no, 'missing package: '||regexp_extract(line, 'File `([^'']+\.sty)'' not found', 1) as message from log where regexp_matches(line, 'File `([^'']+\.sty)'' not found'))
 select doc_id, min(line_no) as place, message from (select * from f union all select * from b union all select * from m) x group by doc_id, message
 """
 
 
 @query(_ERRORS)
 def compile_errors(spark, sf_dir):
-    """Errors with file and line; only where a log has none, bare errors; then missing packages. Odd documents lose the former."""
-    return _compile_errors(corpus.rows(spark, sf_dir, "log_lines"), F.col("doc_id") % 2 == 0)
+    """Errors with file and line; only where a log has none, bare errors; then missing packages."""
+    return _compile_errors(corpus.rows(spark, sf_dir, _ERROR_LINES))
 
 
-@query()
-def compile_errors_all(spark, sf_dir):
-    """compile_errors with file and line in odd documents too."""
-    return _compile_errors(corpus.rows(spark, sf_dir, "log_lines"), F.lit(True))
-
-
-def _compile_errors(lines, in_files):
-    """in_files: the lines whose errors with file and line count."""
+def _compile_errors(lines):
     pattern, sty = r"^([^\s:]+\.\w+):(\d+): (.+)$", r"File `([^']+\.sty)' not found"
     get = lambda k: F.regexp_extract("line", pattern, k)
-    placed = lines.filter(F.col("line").rlike(pattern) & in_files & ~F.lower(stripped(get(3))).rlike("^(warning|info)"))
+    placed = lines.filter(F.col("line").rlike(pattern) & ~F.lower(stripped(get(3))).rlike("^(warning|info)"))
     placed = placed.select("doc_id", "line_no", F.concat(get(1), F.lit(":"), get(2), F.lit(": "), get(3)).alias("message"))
     bare = lines.filter(F.col("line").rlike("^! (.+)$")).join(placed.select("doc_id").distinct(), "doc_id", "left_anti")
     bare = bare.select("doc_id", "line_no", F.regexp_extract("line", "^! (.+)$", 1).alias("message"))
@@ -168,17 +163,9 @@ def docx_counts(spark, sf_dir):
     return corpus.rows(spark, sf_dir, _DOCX).select("s_suppkey", F.regexp_count("document_xml", F.lit("<m:oMath[ >]")).cast("long").alias("equations"))
 
 
-@query("with w as (select doc_id, count(*) as formulas from {log_lines} where line_no <= 60 and starts_with(line, '[WARNING]') group by doc_id), d as (select doc_id, case when starts_with(line, '[WARNING]') then 0 else 1 end as others from {log_lines} where line_no = 1) select doc_id, coalesce(formulas, 0) as formulas, others from d left join w using (doc_id)")
+@query("with w as (select doc_id, count(*) as formulas from {log_lines} where starts_with(line, '[WARNING]') group by doc_id), d as (select doc_id, case when starts_with(line, '[WARNING]') then 0 else 1 end as others from {log_lines} where line_no = 1) select doc_id, coalesce(formulas, 0) as formulas, others from d left join w using (doc_id)")
 def converter_warnings(spark, sf_dir):
-    lines = corpus.rows(spark, sf_dir, "log_lines").filter("line_no <= 60")
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    found = ops.converter_warnings(lines.groupBy("doc_id").agg(ordered.alias("text")))
-    return found.select("doc_id", F.col("formulas").cast("long").alias("formulas"), F.size("others").alias("others"))
-
-
-@query()
-def converter_warnings_all(spark, sf_dir):
-    """Warnings of whole logs; converter_warnings has their first 60 lines, as its SQL does."""
+    """Formulas that a conversion could not read, and its other messages, for each whole log."""
     return ops.converter_warning_counts(corpus.rows(spark, sf_dir, "log_lines"))
 
 

@@ -97,20 +97,12 @@ def row_bases(spark, sf_dir):
 
 
 @query(
-    "with recursive y as (select doc_id, page_no, list_sort(list(oy)) as ys from {spans} where doc_id = 3 group by all), g as (select doc_id, page_no, ys, 1 as i, ys[1] as base, [ys[1]] as b from y union all "
-    "select doc_id, page_no, ys, i + 1, case when ys[i + 1] - base > 9.0 then ys[i + 1] else base end, case when ys[i + 1] - base > 9.0 then list_append(b, ys[i + 1]) else b end from g where i < len(ys)), "
-    "b as (select doc_id, page_no, b from g where i = len(ys)), c as (select s.doc_id, s.page_no, line_no, span_no, oy, unnest(b) as base, generate_subscripts(b, 1) - 1 as row from {spans} s join b using (doc_id, page_no)) "
-    "select doc_id, page_no, line_no, span_no, arg_min(row, (abs(base - oy), row))::int as row from c group by all"
+    "with recursive y as (select doc_id, page_no, list_sort(list(distinct oy)) as ys from {spans} group by all), g as (select doc_id, page_no, ys, ys[1] as base, 0 as row from y union all "
+    "select doc_id, page_no, ys, list_filter(ys, lambda v: v - base > 9.0)[1], row + 1 from g where ys[len(ys)] - base > 9.0) "
+    "select s.doc_id, s.page_no, line_no, span_no, arg_min(row, (abs(base - oy), row))::int as row from {spans} s join g using (doc_id, page_no) group by all"
 )
 def row_nearest(spark, sf_dir):
-    """Rows of one document's spans, as its SQL has them: each span at the nearest base of its page. row_nearest_all has every document."""
-    one = _spans(spark, sf_dir).filter("doc_id = 3")
-    return ops.nearest_rows(one, ["doc_id", "page_no"], 10.0).select("doc_id", "page_no", "line_no", "span_no", "row")
-
-
-@query()
-def row_nearest_all(spark, sf_dir):
-    """Rows of all documents' spans; recursive SQL would carry a list of bases for each page, so the tests compare with plain Python."""
+    """Each span's row: the nearest base of its page."""
     return ops.nearest_rows(_spans(spark, sf_dir), ["doc_id", "page_no"], 10.0).select("doc_id", "page_no", "line_no", "span_no", "row")
 
 
@@ -157,7 +149,7 @@ def accent_base(spark, sf_dir):
     return ops.accent_bases(_spans(spark, sf_dir))
 
 
-_REGIONS = "select doc_id, page_no, x0, y0 - 20 as y0, x1 + 60 as x1, y0 + 25 as y1 from {drawings} where bar_no % 9 = 0"
+_REGIONS = "select doc_id, page_no, x0, y0 - 20 as y0, x1 + 60 as x1, y0 + 25 as y1 from {drawings}"
 
 
 @query(f"select doc_id, page_no, line_no, span_no from {{spans}} s where exists (select 1 from ({_REGIONS}) r where r.doc_id = s.doc_id and r.page_no = s.page_no and s.x0 >= r.x0 - 2 and s.x1 <= r.x1 + 2 and s.y0 >= r.y0 - 2 and s.y1 <= r.y1 + 2)")
@@ -171,23 +163,6 @@ def overlap_anti(spark, sf_dir):
     return ops.untouched(_spans(spark, sf_dir), corpus.rows(spark, sf_dir, _REGIONS), *keys).select(*keys)
 
 
-def _regions(spark, sf_dir):
-    """The regions of all drawings; _REGIONS, which the SQL shares, has every ninth."""
-    size = [F.col("x0"), (F.col("y0") - 20).alias("y0"), (F.col("x1") + 60).alias("x1"), (F.col("y0") + 25).alias("y1")]
-    return _drawings(spark, sf_dir).select("doc_id", "page_no", *size)
-
-
-@query()
-def contains_semi_all(spark, sf_dir):
-    return ops.contained(_spans(spark, sf_dir), _regions(spark, sf_dir)).select("doc_id", "page_no", "line_no", "span_no")
-
-
-@query()
-def overlap_anti_all(spark, sf_dir):
-    keys = ("doc_id", "page_no", "line_no", "span_no")
-    return ops.untouched(_spans(spark, sf_dir), _regions(spark, sf_dir), *keys).select(*keys)
-
-
 @query(
     f"with {_LINES}, w as (select *, max(y1) over (partition by doc_id, page_no order by y0, x0, line_no rows between unbounded preceding and 1 preceding) as b from lines), "
     "c as (select *, sum(case when b is null or y0 - b >= 14 then 1 else 0 end) over (partition by doc_id, page_no order by y0, x0, line_no) as cluster from w) select doc_id, page_no, cluster, count(*) as n_lines, min(y0) as y0, max(y1) as y1 from c group by all"

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import BinaryType
 
 from texmill.functions.markdown import stripped
 
@@ -74,10 +75,15 @@ def decoded(blobs: DataFrame) -> DataFrame:
 
 
 def encoded(text: Column, encoding: Column, newline: Column) -> Column:
-    """The bytes of a text in its own encoding and line end; raises where the encoding cannot hold a character."""
-    ended = F.when(newline == "crlf", F.replace(text, F.lit("\n"), F.lit("\r\n"))).when(newline == "cr", F.replace(text, F.lit("\n"), F.lit("\r"))).otherwise(text)
-    marked = F.concat(F.unhex(F.lit("EFBBBF")), F.encode(ended, "UTF-8"))
-    return F.when(encoding == "utf-8-sig", marked).when(encoding.isin("latin-1"), F.encode(ended, "ISO-8859-1")).otherwise(F.encode(ended, "UTF-8"))
+    """The bytes of a text in its own encoding and line end; fails where the encoding cannot hold a character. Null gives null."""
+
+    @F.arrow_udf(BinaryType())
+    def run(texts: pa.Array, encodings: pa.Array, newlines: pa.Array) -> pa.Array:
+        ends = {"crlf": "\r\n", "cr": "\r"}
+        rows = zip(texts.to_pylist(), encodings.to_pylist(), newlines.to_pylist(), strict=True)
+        return pa.array([None if t is None else t.replace("\n", ends.get(n, "\n")).encode(e or "utf-8") for t, e, n in rows], pa.binary())
+
+    return run(text, encoding, newline)
 
 
 def binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -108,10 +114,17 @@ def docx_parts(blobs: DataFrame) -> DataFrame:
 
 
 def unique_names(rows: DataFrame) -> DataFrame:
-    """rows(path, pos) with name: the path, or its stem with _1, _2, ... where an earlier row has that path."""
+    """rows(path, pos) with name: the path, or where an earlier row has that path its stem with the next number that gives a
+    name which no row's path is. Numbers count on, so the names of one path differ; names of other paths have other stems."""
     n = F.row_number().over(Window.partitionBy("path").orderBy("pos")) - 1
     stem, suffix = F.regexp_extract("path", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("path", r"^(.*?)(\.[^.]*)?$", 2)
-    return rows.withColumn("name", F.when(n == 0, F.col("path")).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), suffix)))
+    numbered = F.regexp_extract("path", r"^(.*)_([1-9]\d*)(\.[^.]*)?$", 2).try_cast("int")
+    plain = F.regexp_replace("path", r"_[1-9]\d*((?:\.[^.]*)?)$", "$1")
+    taken = rows.filter(numbered.isNotNull()).groupBy(plain.alias("_plain")).agg(F.array_sort(F.collect_set(numbered)).alias("_taken"))
+    counted = rows.withColumn("_n", n).join(taken, F.col("path") == F.col("_plain"), "left")
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_n"), lambda k, t: F.when((F.col("_n") > 0) & (t <= k), k + 1).otherwise(k))
+    name = F.when(F.col("_n") == 0, F.col("path")).otherwise(F.concat(stem, F.lit("_"), free.cast("string"), suffix))
+    return counted.select(*rows.columns, name.alias("name"))
 
 
 def write_table(rows: DataFrame, path: str, keep: str = "errorifexists") -> None:
