@@ -43,8 +43,8 @@ def id_remainder(doc_id: Column, by: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % by, F.lit(0))
 
 
-def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
-    """Arrow batches that stay small in a Python worker even where all texts are long."""
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches that stay small in a Python worker even where all texts are long; the same for all operators, as results are lazy."""
     reachable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
