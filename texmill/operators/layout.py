@@ -177,14 +177,6 @@ def untouched(items: DataFrame, regions: DataFrame, *keys: str) -> DataFrame:
     return items.join(touching, list(keys), "left_anti")
 
 
-def clusters(boxes: DataFrame) -> DataFrame:
-    """boxes with cluster (from 1): in order of y0, a box joins if it begins under 14 below all before it in the page."""
-    w = Window.partitionBy(*PAGE).orderBy("y0", "x0", "line_no")
-    before = F.max("y1").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.when(before.isNull() | (F.col("y0") - before >= 14), 1).otherwise(0)
-    return boxes.withColumn("_starts", starts).withColumn("cluster", F.sum("_starts").over(w)).drop("_starts")
-
-
 def code_rows(spans: DataFrame) -> DataFrame:
     """Rows of listings: monospaced spans of a baseline, with block: runs of rows under 3.2 sizes apart, of three or more."""
     m = spans.filter(f.mono(F.col("font"), F.col("flags")) & (F.trim("text") != ""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from texmill.functions.tokens import kinds
 
@@ -25,15 +25,17 @@ def report(matches: DataFrame) -> DataFrame:
     return matches.select("score", F.explode(labels).alias("kind")).groupBy("kind").agg(*measures(F.col("score")))
 
 
-def total(matches: DataFrame) -> DataFrame:
-    """One row for all formulas. Scores are rounded to four places before, as a report stores them."""
-    return matches.agg(*measures(F.round("score", 4))).withColumn("kind", F.lit("total"))
+def total(matches: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row for all formulas, their scores rounded to four places as a report stores them; and of errors(doc_id, errors)
+    the sum and how many papers have none. Papers that were not compiled (null) count in neither."""
+    compiled = errors.agg(F.sum("errors").alias("latex_errors"), F.count_if(F.col("errors") == 0).alias("clean_papers"))  # one row
+    return matches.agg(*measures(F.round("score", 4))).withColumn("kind", F.lit("total")).join(F.broadcast(compiled))
 
 
 def worst(matches: DataFrame, n: int = 15, least_tokens: int = 5) -> DataFrame:
-    """The n lowest scores, and of those the formulas of enough tokens: fewer than n rows are possible."""
-    lowest = matches.orderBy("score", "doc_id", "seq").limit(n)
-    return lowest.filter(F.size("tokens") >= least_tokens)
+    """The n lowest scores of each document, and of those the formulas of enough tokens: fewer than n rows are possible."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("score", "seq"))
+    return matches.withColumn("_place", place).filter((F.col("_place") <= n) & (F.size("tokens") >= least_tokens)).drop("_place")
 
 
 def against(report: DataFrame, baseline: DataFrame) -> DataFrame:

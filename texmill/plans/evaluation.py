@@ -78,12 +78,15 @@ def kinds_rollup(spark, sf_dir):
     return _rounded(scoring.by_kind(_matches(spark, sf_dir)))
 
 
-@query(_MATCH + "select 'total' as kind, count(*) as formulas, round(avg(case when round(score, 4) >= 1 then 100.0 else 0.0 end), 6) as exact_pct, round(100 * avg(round(score, 4)), 6) as similarity_pct from m")
+_COMPILED = "select n_nationkey as doc_id, case when n_nationkey % 7 = 6 then null else n_nationkey % 3 end as errors from {nation} where n_nationkey < 20"
+
+
+@query(_MATCH + f"select 'total' as kind, count(*) as formulas, round(avg(case when round(score, 4) >= 1 then 100.0 else 0.0 end), 6) as exact_pct, round(100 * avg(round(score, 4)), 6) as similarity_pct, (select sum(errors)::bigint from ({_COMPILED}) e) as latex_errors, (select count(*) from ({_COMPILED}) e where errors = 0) as clean_papers from m")
 def score_total(spark, sf_dir):
-    return _rounded(scoring.total(_matches(spark, sf_dir)))
+    return _rounded(scoring.total(_matches(spark, sf_dir), corpus.rows(spark, sf_dir, _COMPILED)))
 
 
-@query(_MATCH + "select doc_id, seq, text, found_text, round(score, 3) as score from (select * from m order by m.score, doc_id, seq limit 15) w where len(tokens) >= 5")
+@query(_MATCH + "select doc_id, seq, text, found_text, round(score, 3) as score from (select * from m qualify row_number() over (partition by doc_id order by m.score, seq) <= 15) w where len(tokens) >= 5")
 def worst_k(spark, sf_dir):
     return scoring.worst(_matches(spark, sf_dir)).select("doc_id", "seq", "text", "found_text", F.round("score", 3).alias("score"))
 

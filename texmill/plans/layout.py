@@ -163,15 +163,6 @@ def overlap_anti(spark, sf_dir):
     return ops.untouched(_spans(spark, sf_dir), corpus.rows(spark, sf_dir, _REGIONS), *keys).select(*keys)
 
 
-@query(
-    f"with {_LINES}, w as (select *, max(y1) over (partition by doc_id, page_no order by y0, x0, line_no rows between unbounded preceding and 1 preceding) as b from lines), "
-    "c as (select *, sum(case when b is null or y0 - b >= 14 then 1 else 0 end) over (partition by doc_id, page_no order by y0, x0, line_no) as cluster from w) select doc_id, page_no, cluster, count(*) as n_lines, min(y0) as y0, max(y1) as y1 from c group by all"
-)
-def cluster_merge(spark, sf_dir):
-    found = ops.clusters(ops.lines(_spans(spark, sf_dir)))
-    return found.groupBy("doc_id", "page_no", "cluster").agg(F.count(F.lit(1)).alias("n_lines"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
-
-
 @query(
     "with m as (select doc_id, page_no, round_even(oy, 1) as y, max(size) as size, string_agg(text, ' ' order by x0, text) as line from {spans} where font = 'CMTT9' group by all), "
     "s as (select *, case when lag(y) over w is null or y - lag(y) over w >= 3.2 * size then 1 else 0 end as s from m window w as (partition by doc_id, page_no order by y)), b as (select *, sum(s) over (partition by doc_id, page_no order by y) as block from s) "

@@ -25,5 +25,5 @@ def query(oracle: str | None = None):
     return put
 
 
-for _part in ("evaluation", "markdown", "analytics", "layout", "model", "equations", "host", "stream"):
+for _part in ("evaluation", "markdown", "analytics", "layout", "regions", "model", "equations", "host", "stream"):
     importlib.import_module(f"texmill.plans.{_part}")
