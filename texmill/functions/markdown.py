@@ -51,11 +51,26 @@ def clean(text: Column) -> Column:
     return F.concat(stripped(text), F.lit("\n"))
 
 
-def images(text: Column) -> Column:
-    """Links of local images with forward slashes; links to the web and inline data stay."""
-    links = F.regexp_extract_all(text, F.lit(IMAGE), F.lit(0))
-    local = F.filter(links, lambda x: ~F.regexp_extract(x, IMAGE, 2).rlike(r"^\s*(http://|https://|data:)"))
-    return F.aggregate(local, text, lambda acc, x: F.replace(acc, x, F.replace(x, F.lit("\\"), F.lit("/"))))
+def relative(path: Column, base: Column) -> Column:
+    """An absolute path with forward slashes as seen from a folder."""
+    a, b = F.split(path, "/"), F.split(F.rtrim(base, F.lit("/")), "/")
+    equal = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    shared = F.coalesce(F.nullif(F.array_position(equal, F.lit(False)).cast("int"), F.lit(0)) - 1, F.size(equal))
+    return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(b) - shared), F.slice(a, shared + 1, F.size(a))), "/")
+
+
+def images(text: Column, base: Column | None = None) -> Column:
+    """Links of local images with forward slashes, absolute ones as seen from the folder base; those to the web and inline data stay."""
+    links = F.array_distinct(F.regexp_extract_all(text, F.lit(IMAGE), F.lit(0)))
+    target = lambda x: stripped(F.regexp_extract(x, IMAGE, 2))
+    local = F.filter(links, lambda x: ~target(x).rlike(r"^(http://|https://|data:)"))
+
+    def moved(x: Column) -> Column:
+        path = F.replace(target(x), F.lit("\\"), F.lit("/"))
+        seen = path if base is None else F.when(path.startswith("/"), relative(path, base)).otherwise(path)
+        return F.concat(F.lit("!["), F.regexp_extract(x, IMAGE, 1), F.lit("]("), seen, F.lit(")"))
+
+    return F.aggregate(local, text, lambda acc, x: F.replace(acc, x, moved(x)))
 
 
 def pages(spec: Column) -> Column:

@@ -20,10 +20,16 @@ def without_line_numbers(lines: DataFrame) -> DataFrame:
     return lines.join(told, "doc_id", "left").select("doc_id", "line_no", cut.alias("line"))
 
 
-def blank_rows(rows: DataFrame) -> DataFrame:
-    """rows(doc_id, block, y, line) with blanks: how many empty rows stand before each, by the least step of its block."""
-    w = Window.partitionBy("doc_id", "block").orderBy("y")
-    step = F.col("y") - F.lag("y").over(w)
-    stepped = rows.withColumn("step", step)
-    least = F.min("step").over(Window.partitionBy("doc_id", "block"))
-    return stepped.withColumn("least", least).select("doc_id", "block", "y", "line", F.coalesce(F.rint(F.col("step") / F.col("least")).cast("int") - 1, F.lit(0)).alias("blanks"))
+def blank_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows(keys, block, y, line) with blanks: how many empty rows stand before each, by the least step of its block."""
+    w = Window.partitionBy(*keys, "block").orderBy("y")
+    stepped = rows.withColumn("step", F.col("y") - F.lag("y").over(w))
+    least = F.min("step").over(Window.partitionBy(*keys, "block"))
+    return stepped.withColumn("least", least).select(*keys, "block", "y", "line", F.coalesce(F.rint(F.col("step") / F.col("least")).cast("int") - 1, F.lit(0)).alias("blanks"))
+
+
+def fenced(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, block, text): the rows of each block with the blank ones between them, as fenced code."""
+    spaced = blank_rows(rows, *keys).withColumn("line", F.concat(F.repeat(F.lit("\n"), F.col("blanks")), F.col("line")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("y", "line"))), lambda x: x["line"])
+    return spaced.groupBy(*keys, "block").agg(F.concat(F.lit("```\n"), F.array_join(lines, "\n"), F.lit("\n```")).alias("text"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from texmill.functions.tokens import letters, similarity
+from texmill.storage import stash
 
 BAND = 40
 
@@ -29,7 +30,10 @@ def band_pairs(left: DataFrame, right: DataFrame, band: int = BAND) -> DataFrame
 
 def matched(originals: DataFrame, found: DataFrame, band: int = BAND) -> DataFrame:
     """originals(doc_id, seq, text, tokens, ...) with found_seq, found_text and score of the most similar of
-    found(doc_id, seq, text, tokens) in the band; the first on ties, none if nothing is similar at all."""
+    found(doc_id, seq, text, tokens) in the band; the first on ties, none if nothing is similar at all.
+
+    Both are read for the alphabet, the pairs and the result, and tokens are costly to make, so they are written first."""
+    originals, found = stash(originals), stash(found.select("doc_id", "seq", "text", "tokens"))
     alphabet = originals.select("doc_id", F.explode("tokens").alias("t")).union(found.select("doc_id", F.explode("tokens").alias("t")))
     alphabet = alphabet.groupBy("doc_id").agg(F.sort_array(F.collect_set("t")).alias("alphabet"))  # tokens of one document
     coded = lambda df: df.join(alphabet, "doc_id").withColumn("code", letters(F.col("tokens"), F.col("alphabet"))).drop("alphabet")

@@ -163,15 +163,29 @@ def overlap_anti(spark, sf_dir):
     return ops.untouched(_spans(spark, sf_dir), corpus.rows(spark, sf_dir, _REGIONS), *keys).select(*keys)
 
 
-@query(
+_ROWS = (
     "with m as (select doc_id, page_no, round_even(oy, 1) as y, max(size) as size, string_agg(text, ' ' order by x0, text) as line from {spans} where font = 'CMTT9' group by all), "
-    "s as (select *, case when lag(y) over w is null or y - lag(y) over w >= 3.2 * size then 1 else 0 end as s from m window w as (partition by doc_id, page_no order by y)), b as (select *, sum(s) over (partition by doc_id, page_no order by y) as block from s) "
-    "select doc_id, page_no, y, line, block, count(*) over (partition by doc_id, page_no, block) as n_rows from b qualify n_rows >= 3"
+    "s as (select *, case when lag(y) over w is null or y - lag(y) over w >= 3.2 * size then 1 else 0 end as s from m window w as (partition by doc_id, page_no order by y)), b as (select *, sum(s) over (partition by doc_id, page_no order by y) as block from s), "
+    "r as (select doc_id, page_no, y, line, block, count(*) over (partition by doc_id, page_no, block) as n_rows from b qualify n_rows >= 3)"
 )
+
+
+@query(f"{_ROWS} select * from r")
 def code_rows(spark, sf_dir):
     return ops.code_rows(_spans(spark, sf_dir)).select("doc_id", "page_no", "y", "line", "block", "n_rows")
 
 
+@query(
+    f"{_ROWS}, t as (select *, y - lag(y) over (partition by doc_id, page_no, block order by y) as step from r), l as (select *, min(step) over (partition by doc_id, page_no, block) as least from t) "
+    "select doc_id, page_no, block, '```'||chr(10)||string_agg(repeat(chr(10), coalesce(round_even(step / least, 0)::int - 1, 0))||line, chr(10) order by y)||chr(10)||'```' as text from l group by all"
+)
+def code_blocks(spark, sf_dir):
+    """Listings of pages, rebuilt with their blank rows."""
+    from texmill.operators import listings
+
+    return listings.fenced(ops.code_rows(_spans(spark, sf_dir)), "doc_id", "page_no")
+
+
 @query("select doc_id, page_no, count(*) as n from (select *, x0 - lag(x1) over (partition by doc_id, page_no, line_no order by x0, span_no) > 0.2 * size as g from {spans}) x where g group by all")
 def gap_spaces(spark, sf_dir):
     return ops.gap_spaces(_spans(spark, sf_dir)).filter("gap_before").groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n"))

@@ -121,12 +121,12 @@ def strip_picture_text(spark, sf_dir):
     return corpus.rows(spark, sf_dir, _PICTURES).select("n_nationkey", md.without_picture_text(F.col("text")).alias("text"))
 
 
-_IMAGES = "select n_nationkey, '![a](img'||chr(92)||n_name||chr(92)||'x.png) and ![web](https://host/'||n_name||'.png)' as text from {nation}"
+_IMAGES = "select n_nationkey, '![a](img'||chr(92)||n_name||chr(92)||'x.png) and ![web](https://host/'||n_name||'.png), ![b]( /work/out/'||n_name||'.png ) ![c](/work/doc/c.png)' as text from {nation}"
 
 
-@query(f"select n_nationkey, replace(text, chr(92), '/') as text from ({_IMAGES}) x")
+@query("select n_nationkey, '![a](img/'||n_name||'/x.png) and ![web](https://host/'||n_name||'.png), ![b](../out/'||n_name||'.png) ![c](c.png)' as text from {nation}")
 def relocate_images(spark, sf_dir):
-    return corpus.rows(spark, sf_dir, _IMAGES).select("n_nationkey", md.images(F.col("text")).alias("text"))
+    return corpus.rows(spark, sf_dir, _IMAGES).select("n_nationkey", md.images(F.col("text"), F.lit("/work/doc/")).alias("text"))
 
 
 _WORDS = "select c_custkey % 40 as doc_id, c_custkey as line_no, c_mktsegment||' '||c_name as text from {customer}"
