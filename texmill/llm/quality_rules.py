@@ -42,7 +42,7 @@ class Rules:
     trial_steps: int = 2
     #: Steps end when no group's log determinant moves by more than `settled`, or here.
     most_steps: int = 20
-    settled: float = 0.01
+    settled: float = 0.05
     #: Quantile that a row of the reweighted estimate lies within.
     near: float = 0.975
     min_group: int = 60
