@@ -26,7 +26,7 @@ from texmill.llm.text import small_batches, whole
 from texmill.storage import stash
 
 SIZE, END = 2048, 1
-#: Gap to the bound at which pricing stops, and the most pivots.
+#: Gap to a bound (that of the duals, or of the ids alone) at which pricing stops, and the most pivots.
 GAP, PIVOTS = 2e-4, 4000
 
 
@@ -165,7 +165,7 @@ def patterns(demand: np.ndarray, size: int = SIZE) -> list[tuple[Counter, int]]:
         for i, a in p.items():
             holding[i].append((k, a))
     dual = inverse.sum(axis=0)
-    pivots = 0
+    pivots, least = 0, float((demand[lengths] * lengths).sum() / size)  # no packing has fewer sequences than its ids fill
     while pivots < PIVOTS:
         price = np.zeros(size + 1)
         price[lengths] = np.maximum(dual, 0)
@@ -192,7 +192,7 @@ def patterns(demand: np.ndarray, size: int = SIZE) -> list[tuple[Counter, int]]:
             dual = dual - gain * pivot_row
             basis[out] = pattern
             pivots += 1
-        if pivots == before:
+        if pivots == before or x.sum() <= least * (1 + GAP):
             break
     uses = [(p, int(u + 1e-6)) for p, u in zip(basis, x, strict=True) if u + 1e-6 >= 1]
     rest = demand.astype(np.int64).copy()
