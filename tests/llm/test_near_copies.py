@@ -82,3 +82,22 @@ def test_null_ids_link_and_are_kept_apart(spark):
     docs = [(None, texts[0], "en", "a", 9), (None, texts[1], "en", "a", 9), (None, texts[2], "en", "a", 9), (5, texts[2] + " end", "en", "a", 9)]
     kept = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(docs, SCHEMA), "").collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, texts[0]), (0, texts[1]), (5, texts[2] + " end")]
+
+
+def test_fingerprints_link_as_operator_6_does(spark):
+    """SimHash over five-word shingles, by pigeonhole blocks: the links are those of all pairs within the distance, equal ones too."""
+    texts = planted(30)
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)] + [(len(texts), " ", "en", "a", 1)], SCHEMA)
+    rows = near_copies.sketched(docs)
+    found = {r.doc_id: r for r in rows.select("_doc.doc_id", "vertex", "fp").collect()}
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    assert [found[i].fp % (1 << 64) for i in range(len(texts))] == prints and found[len(texts)].fp == 0
+    group, want = {found[i].vertex: found[i].vertex for i in range(len(texts))}, 0
+    for r in near_copies.by_simhash(rows.filter("size(bands) > 0")).collect():
+        group = {k: group[r.a] if g == group[r.b] else g for k, g in group.items()}
+    for i in range(len(texts)):
+        for j in range(i):
+            near = (prints[i] ^ prints[j]).bit_count() <= simhash.DISTANCE
+            want += near
+            assert not near or group[found[i].vertex] == group[found[j].vertex]
+    assert want >= 5 and len(set(group.values())) >= 30

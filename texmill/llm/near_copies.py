@@ -1,12 +1,12 @@
 """Operator 6 for the pipeline: groups of texts with Jaccard >= 4/5 over their five-word shingles.
 
-Blocks of a fingerprint are joined on and each link is verified, as in simhash, but SimHash's 64 bits cannot reach that far:
-pairs at 0.8 differ in up to 12 bits and more, and 12 of 64 would take a key for each choice of 4 out of 16 blocks, 1820 a text.
-So the fingerprint here is of 128 minima of the shingles' hashes, in 32 blocks of four; a pair at 0.8 shares no block with a
-chance of (1 - 0.8 ** 4) ** 32, under 5 in 10**8, and what is verified is the Jaccard similarity itself.
+SimHash fingerprints of the shingles are linked through simhash's pigeonhole blocks, at its distance. That alone does not reach
+0.8: such pairs differ in up to 12 bits and more, and 12 of 64 would take a key for each choice of 4 out of 16 blocks, 1820 a
+text. So beside it 128 minima of the shingles' hashes, in 32 bands of four, add the candidates beyond that distance; a pair at
+0.8 shares no band with a chance of (1 - 0.8 ** 4) ** 32, under 5 in 10**8. An exact check of the Jaccard similarity follows.
 
-A vertex is the hash of a text's words, so copies are one. Vertices that share a block are joined to candidate components, and
-each text goes once to its component, where all pairs are decided on whole shingle sets. Jaccard distance is a metric: members
+A vertex is the hash of a text's words, so copies are one. Vertices that either way links are joined to candidate components,
+and each text goes once to its component, where all pairs are decided on whole shingle sets. Jaccard distance is a metric: members
 near one pivot are joined already, and only those within twice the limit of a pivot need a look at the members around it. A
 component of much text is cut into tiles of two chunks each; its comparisons grow with its square.
 
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from texmill.llm.components import components
+from texmill.llm import simhash
 from texmill.llm.simhash import LOWER, SEED, WORD
 from texmill.llm.text import column, doc_schema, packed, small_batches, whole
 from texmill.storage import stash
@@ -46,7 +47,7 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
         at += len(word) + 1
         ends.append(at)
     if len(found) <= size:
-        return np.array([xxhash.xxh64_intdigest(line, SEED)] if found else [], np.uint64)
+        return np.frombuffer(xxhash.xxh64_digest(line, SEED) if found else b"", np.uint64)
     digest = xxhash.xxh64_digest
     starts = [0, *(e + 1 for e in ends)]
     return np.frombuffer(b"".join([digest(line[i:j], SEED) for i, j in zip(starts, ends[size - 1 :])]), np.uint64)  # noqa: B905
@@ -66,15 +67,17 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("_text").to_pylist()
         vertex = [xxhash.xxh64_intdigest(b" ".join(WORD.findall(t.encode().translate(LOWER))), SEED) - (1 << 63) for t in texts]
-        keys = pa.array([bands(shingles(t)) for t in texts], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("_row"), pa.array(vertex, pa.int64()), keys], names=["_doc", "_row", "vertex", "bands"])
+        hashes = [shingles(t) for t in texts]
+        fp = pa.array(np.array([simhash.majority(h.view(np.uint8).reshape(-1, 8)) for h in hashes], np.uint64).view(np.int64))
+        keys = pa.array([bands(h) for h in hashes], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("_row"), pa.array(vertex, pa.int64()), fp, keys], names=["_doc", "_row", "vertex", "fp", "bands"])
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """_doc: the columns of docs; _row: a number of the row; vertex: the hash of the words; bands: the keys."""
+    """_doc: the columns of docs; _row: a number of the row; vertex: the hash of the words; fp: the SimHash fingerprint; bands: the keys."""
     small_batches(docs.sparkSession)
     rows = docs.select(packed(docs), F.monotonically_increasing_id().alias("_row"), whole(column("text")).alias("_text"))
-    return rows.mapInArrow(_sketches, doc_schema(rows, ("_row", LongType()), ("vertex", LongType()), ("bands", ArrayType(LongType()))))
+    return rows.mapInArrow(_sketches, doc_schema(rows, ("_row", LongType()), ("vertex", LongType()), ("fp", LongType()), ("bands", ArrayType(LongType()))))
 
 
 def forest(sets: list[np.ndarray], alike: tuple[int, int] = ALIKE) -> list[tuple[int, int]]:
@@ -145,12 +148,23 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield made()
 
 
+def _stars(filed: DataFrame) -> DataFrame:
+    """(a, b): the least vertex of each key of filed(vertex, key) and each other one of it."""
+    least = filed.groupBy("key").agg(F.min("vertex").alias("a"), F.max("vertex").alias("z")).filter("a <> z").select("key", "a")
+    return filed.join(least, "key").filter("a <> vertex").select("a", F.col("vertex").alias("b"))
+
+
+def by_simhash(one: DataFrame, distance: int = simhash.DISTANCE) -> DataFrame:
+    """(a, b): vertices of one(vertex, fp) that join what fingerprints within the distance join; equal ones are one of simhash's."""
+    fps = stash(one.groupBy("fp").agg(F.min("vertex").alias("id")))
+    return _stars(one.select("vertex", F.col("fp").alias("key"))).union(simhash.links(fps, distance))
+
+
 def links(rows: DataFrame, tile: int = TILE) -> DataFrame:
-    """(a, b): vertices of rows(_doc, _row, vertex, bands) that join what pairs of near texts join."""
-    one = rows.groupBy("vertex").agg(F.min("_row").alias("_rep"), F.any_value("bands").alias("bands"))
+    """(a, b): vertices of rows(_doc, _row, vertex, fp, bands) that join what pairs of near texts join."""
+    one = rows.groupBy("vertex").agg(F.min("_row").alias("_rep"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
     filed = one.select("vertex", F.explode("bands").alias("key"))
-    least = filed.groupBy("key").agg(F.min("vertex").alias("a"), F.max("vertex").alias("z")).filter("a <> z").select("key", "a")
-    near = components(filed.join(least, "key").filter("a <> vertex").select("a", F.col("vertex").alias("b")).distinct())
+    near = components(by_simhash(one.filter(F.size("bands") > 0)).union(_stars(filed)).distinct())
     reps = near.join(one.select("vertex", "_rep"), F.col("id") == F.col("vertex")).select("vertex", "_rep", "component")
     texts = rows.select(F.col("_row").alias("_at"), whole(F.col("_doc.text")).alias("text")).join(reps, F.col("_at") == F.col("_rep"))
     texts = stash(texts.select("vertex", "component", "text"))

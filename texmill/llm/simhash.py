@@ -47,7 +47,11 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     starts = [0, *(e + 1 for e in ends)]
     digest = xxhash.xxh64_digest
     hashes = b"".join([digest(line[i:j], SEED) for i, j in zip(starts, ends[size - 1 :])])  # noqa: B905
-    rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(hashes, np.uint8).reshape(-1, 8))
+
+
+def majority(rows: np.ndarray) -> int:
+    """The bits set in over half of the digests, one a row of eight bytes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(rows), 1 << 16):
         ones += np.unpackbits(rows[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
