@@ -69,6 +69,15 @@ def klass(word: str, how: Setup) -> int:
     return how.symbols + zlib.crc32((bare[-3:] + "." * (bare != word)).encode()) % how.classes
 
 
+def klasses(words: pa.Array, how: Setup) -> np.ndarray:
+    """klass() of each of an array of words; only the endings that differ go through Python."""
+    bare = pc.utf8_rtrim(words, characters=MARKS)
+    mark = pc.if_else(pc.equal(pc.binary_length(bare), pc.binary_length(words)), "", ".")
+    found = pc.binary_join_element_wise(pc.utf8_slice_codeunits(bare, -3), mark, "").dictionary_encode()
+    of_ending = np.array([how.symbols + zlib.crc32(x.encode()) % how.classes for x in found.dictionary.to_pylist()], np.int64)
+    return of_ending[found.indices.to_numpy()]
+
+
 def klass_of(word: Column, how: Setup) -> Column:
     """klass() as a native expression."""
     bare = F.rtrim(word, F.lit(MARKS))
@@ -130,19 +139,24 @@ def likelihoods(model: Model, texts: list[np.ndarray], stride: int = 8) -> np.nd
 
 
 def expected(model: Model, texts: list[np.ndarray], kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, moves and emissions (kinds x states): the scaled forward and backward recursions."""
+    """Expected counts of starts, moves and emissions (kinds x states): the scaled forward and backward recursions. What is held
+    of each token are its emissions and its state probabilities."""
     flat, first, there, _ = layout(texts)
     out = model.emit[flat]
     alpha, scale = forward(model, out, first, there)
     out /= scale[:, None]
-    after, back_move = np.ones_like(out), np.ascontiguousarray(model.move.T)
-    for t in range(len(there) - 1, 0, -1):  # out becomes a token's emission times what comes after it
-        n, i, j = there[t], first[t], first[t + 1]
-        out[i:j] *= after[i:j]
-        np.matmul(out[i:j], back_move, out=after[first[t - 1] : first[t - 1] + n])
-    before = np.arange(there[0], len(flat)) - np.repeat(there[:-1], there[1:])  # place of each token's predecessor
-    moves = model.move * (alpha[before].T @ out[there[0] :])
-    alpha *= after
+    moves, back_move = np.zeros_like(model.move), np.ascontiguousarray(model.move.T)
+    after = np.ones((there[-1], out.shape[1]))  # of the tokens of one place: the probability of what comes after, scaled
+    for t in range(len(there) - 1, 0, -1):
+        i, j, before = first[t], first[t + 1], first[t - 1]
+        ahead = out[i:j]
+        ahead *= after
+        moves += alpha[before : before + there[t]].T @ ahead
+        alpha[i:j] *= after
+        after = np.ones((there[t - 1], out.shape[1]))
+        np.matmul(ahead, back_move, out=after[: there[t]])
+    moves *= model.move
+    alpha[: there[0]] *= after
     emitted = np.stack([np.bincount(flat, alpha[:, s], minlength=kinds) for s in range(out.shape[1])], axis=1)
     return alpha[: there[0]].sum(axis=0), moves, emitted
 
@@ -212,20 +226,30 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator
         yield pa.Table.from_batches(held)
 
 
+def slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, split so that no slice but one of a single text has more than `most` bytes of text."""
+    ends, at = np.r_[0, np.cumsum(pc.binary_length(batch.column("text")).to_numpy(), dtype=np.int64)], 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n), summed within a task until the words are many; END counts texts."""
+    """(word, n), summed within a task until the words are many (Spark sums what comes twice); END counts texts."""
     held: list[pa.Table] = []
-    for batch in batches:
+    for batch in (some for b in batches for some in slices(b)):
         words, sizes = tokens(batch.column("text"))
         found = pc.value_counts(words)
         ends = pa.table({"word": pa.array([END], pa.string()), "n": pa.array([len(sizes)], pa.int64())})
         held += [pa.table({"word": found.field("values"), "n": found.field("counts")}), ends]
-        if sum(t.num_rows for t in held) > 1_000_000:
+        if sum(t.num_rows for t in held) > 300_000:
             held = [_summed(held)]
-            if held[0].num_rows > 500_000:
+            if held[0].num_rows > 150_000:
                 yield from held.pop().to_batches(50_000)
     if held:
         yield from _summed(held).to_batches(50_000)
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def _summed(tables: list[pa.Table]) -> pa.Table:
@@ -239,43 +263,36 @@ class Vocabulary:
     n: int
     v: int
     end: int  # count of the end token; it always has a place
-    place: dict[str, int]
+    words: pa.Array  # by place, the end token first; as an array, which takes a tenth of what a dict takes in each worker
     count: np.ndarray  # by place
-    symbol: np.ndarray  # by place; -1 for those of a class
+    kind: np.ndarray  # by place: the symbol of its own, or the class
     in_class: np.ndarray  # tokens of each class in training
     types: np.ndarray  # words of each class in training
 
-    def tables(self, how: Setup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By place: symbol, base score, and log probability within the class (0 for a symbol of its own). Made once a worker."""
-        if "_tables" not in self.__dict__:
-            kind = self.symbol.copy()
-            for w, i in self.place.items():
-                if kind[i] < 0:
-                    kind[i] = klass(w, how)
-            own = self.symbol >= 0
-            inner = np.where(own, 0.0, np.log10(np.maximum(self.count - how.discount, 1e-300) / np.where(own, 1.0, np.maximum(self.in_class[kind], 1e-300))))
-            self._tables = kind, np.log10((self.count + 0.1) / (self.n + 0.1 * (self.v + 1))), inner
-        return self._tables
+    def tables(self, how: Setup) -> tuple[np.ndarray, np.ndarray]:
+        """By place: base score, and log probability within the class (0 for a symbol of its own)."""
+        own = self.kind < how.symbols
+        inner = np.where(own, 0.0, np.log10(np.maximum(self.count - how.discount, 1e-300) / np.where(own, 1.0, np.maximum(self.in_class[self.kind], 1e-300))))
+        return np.log10((self.count + 0.1) / (self.n + 0.1 * (self.v + 1))), inner
 
 
 def vocabulary(counts: DataFrame, how: Setup) -> Vocabulary:
     of_end = F.coalesce(F.max(F.when(F.col("word") == END, F.col("c"))), F.lit(0))
     n, v, end = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), of_end).first()
     top = counts.filter(F.col("word") != END).orderBy(F.desc("c"), "word").limit(how.table).toArrow()  # a bounded table of the most frequent
-    found = dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
-    words = [END, *found]
-    symbol = np.full(len(words), -1)
-    symbol[: how.symbols] = np.arange(min(how.symbols, len(words)))
+    words = pa.concat_arrays([pa.array([END], pa.string()), *top.column("word").cast(pa.string()).chunks])
+    count = np.r_[float(end), top.column("c").to_numpy()]
+    kind = klasses(words, how)
     each = counts.groupBy(klass_of(F.col("word"), how).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("types"))
     in_class, types = np.zeros(how.kinds), np.zeros(how.kinds)
     for k, total, kinds in each.collect():  # a row a class
         in_class[k], types[k] = total, kinds
-    for w, c in zip(words[: how.symbols], [end, *found.values()], strict=False):  # those have symbols of their own
-        if c:
-            in_class[klass(w, how)] -= c
-            types[klass(w, how)] -= 1
-    place = {w: i for i, w in enumerate(words)}
-    return Vocabulary(n, v, end, place, np.array([end, *found.values()], float), symbol, in_class, types)
+    seen = np.flatnonzero(count[: how.symbols])  # those have symbols of their own
+    np.subtract.at(in_class, kind[seen], count[seen])
+    np.subtract.at(types, kind[seen], 1)
+    own = min(how.symbols, len(words))
+    kind[:own] = np.arange(own)
+    return Vocabulary(n, v, end, words, count, kind.astype(np.int32), in_class, types)
 
 
 ENCODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, inner double, symbols binary, rare array<string>, rare_n array<int>, rare_k array<int>"
@@ -283,30 +300,25 @@ ENCODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base doub
 
 def _encoded(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, how: Setup) -> Iterator[pa.RecordBatch]:
     """Symbols of each text, what the frequent tokens add to its sums, and its other words with their numbers."""
-    kind, base, inner = vocab.tables(how)
-    frequent = pa.array(list(vocab.place), pa.string())  # in order of place
-    memory: dict[str, int] = {}
-    for batch in batches:
+    kind, (base, inner) = vocab.kind, vocab.tables(how)
+    for batch in (some for b in batches for some in slices(b)):
         words, sizes = tokens(batch.column("text"))
         rows = len(sizes)
         owner = np.repeat(np.arange(rows), sizes)
-        at = pc.index_in(words, value_set=frequent).fill_null(-1).to_numpy()
+        at = pc.index_in(words, value_set=vocab.words).fill_null(-1).to_numpy()
         known, missing = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
         codes = kind[at]  # -1 takes the last entry, put right below
         rare = words.take(pa.array(missing)).dictionary_encode()
-        names, which = rare.dictionary.to_pylist(), rare.indices.to_numpy()
-        if len(memory) > 200_000:
-            memory.clear()
-        of_name = np.array([memory.get(w) or memory.setdefault(w, klass(w, how)) for w in names], np.int64)
+        names, which = len(rare.dictionary), rare.indices.to_numpy()
+        of_name = klasses(rare.dictionary, how)
         codes[missing] = of_name[which]
-        pair, often = np.unique(owner[missing] * max(1, len(names)) + which, return_counts=True)
-        name, offsets = pair % max(1, len(names)), np.searchsorted(pair, np.arange(rows + 1) * max(1, len(names))).astype(np.int32)
+        pair, often = np.unique(owner[missing] * max(1, names) + which, return_counts=True)
+        name, offsets = pair % max(1, names), np.searchsorted(pair, np.arange(rows + 1) * max(1, names)).astype(np.int32)
         listed = lambda values, offsets=offsets: pa.ListArray.from_arrays(pa.array(offsets), values)
 
-        last = np.cumsum(sizes + 1)  # after the end token of each text
-        symbols = np.full(last[-1] if rows else 0, kind[0], "<u2")
+        first = np.r_[0, np.cumsum(sizes + 1)]  # of each text; an end token comes before the next
+        symbols = np.full(first[-1], kind[0], "<u2")
         symbols[np.arange(len(codes)) + owner] = codes
-        data = symbols.tobytes()
         summed = lambda values, known=known, owner=owner, at=at, rows=rows: np.bincount(owner[known], values[at[known]], rows) + values[0]
         columns = {
             "doc_id": batch.column("doc_id"),
@@ -315,7 +327,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, how: Setup) -
             "n_known": pa.array(np.bincount(owner[known], minlength=rows) + (vocab.end > 0), pa.int64()),
             "base": pa.array(summed(base)),
             "inner": pa.array(summed(inner)),
-            "symbols": pa.array([data[2 * i : 2 * j] for i, j in zip(np.r_[0, last[:-1]].tolist(), last.tolist(), strict=True)] if rows else [], pa.binary()),
+            "symbols": pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((2 * first).astype(np.int32)), pa.py_buffer(symbols)]),
             "rare": listed(rare.dictionary.take(pa.array(name))),
             "rare_n": listed(pa.array(often, pa.int32())),
             "rare_k": listed(pa.array(of_name[name], pa.int32())),
@@ -324,7 +336,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, how: Setup) -
 
 
 def _texts(rows: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(b, "<u2").astype(np.int64) for b in rows.column("symbols").to_pylist()]
+    return [np.frombuffer(b, "<u2") for b in rows.column("symbols").to_pylist()]
 
 
 def _added(rows: DataFrame, count, names: list[str], shape: tuple[int, int]) -> np.ndarray:
@@ -352,7 +364,11 @@ def train(encoded: DataFrame, vocab: Vocabulary, how: Setup) -> Model:
     shares = np.zeros(n)
     there = vocab.count[1 : n + 1] / max(1, vocab.n)
     shares[: len(there)] = there
-    model = beginning(_added(rows, lambda texts: anchored(texts, shares, how.kinds), [f"a{k}" for k in range(n)], (how.kinds + 1, n)), how)
+
+    def by_anchor(texts: list[np.ndarray]) -> np.ndarray:
+        return sum(anchored([texts[k] for k in some], shares, how.kinds) for some in parts(texts))
+
+    model = beginning(_added(rows, by_anchor, [f"a{k}" for k in range(n)], (how.kinds + 1, n)), how)
     for _ in range(how.passes):
         held = spark.sparkContext.broadcast(model)
 
@@ -397,8 +413,8 @@ def scored(docs: DataFrame, how: Setup = Setup(), held_out_of: int = 10) -> Data
             yield from rows.select(list(slim)).append_column("hmm", pa.array(logs)).combine_chunks().to_batches()
 
     rows = encoded.select(*slim, "symbols").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, inner double, hmm double")
-    sizes = [(k, float(vocab.in_class[k]), float(vocab.types[k])) for k in range(how.symbols, how.kinds)]
-    classes = F.broadcast(spark.createDataFrame(sizes, "k int, in_class double, types double"))  # a row a class
+    sizes = {"k": pa.array(range(how.symbols, how.kinds), pa.int32()), "in_class": vocab.in_class[how.symbols :], "types": vocab.types[how.symbols :]}
+    classes = F.broadcast(spark.createDataFrame(pa.table(sizes)))  # a row a class; as Arrow, which needs no Python on the executors
     each = encoded.select("row", F.explode(F.arrays_zip("rare", "rare_n", "rare_k")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("n"), F.col("r.rare_k").alias("k"))
     met = each.join(counts, "word", "left").join(classes, "k")
     c = F.coalesce("c", F.lit(0))
